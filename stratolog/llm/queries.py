@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, licenses, mixing, quality
+from . import jpeg, language, licenses, mixing, pieces, quality, simhash
 from .common import documents
 
 
@@ -17,6 +17,10 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(documents(spark, sf_dir))
 
 
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.tokenize(documents(spark, sf_dir), ids=False)
+
+
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(documents(spark, sf_dir))
 
@@ -27,6 +31,18 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), "kept", "rule_bits")
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_language_id, op4_license_scan, op8_quality_rules)}
+def op9_media_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jpeg.store(documents(spark, sf_dir), keep_media=False)
+
+
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = simhash.near_duplicates(documents(spark, sf_dir))
+    return rows.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_mix_sources, op2_language_id, op3_sentencepiece, op4_license_scan, op8_quality_rules, op9_media_jpeg, op10_simhash)
+}
 
 ORACLE_SQL: dict[str, str] = {}
