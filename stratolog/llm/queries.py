@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jpeg, language, licenses, mixing, pieces, quality, simhash
+from . import jpeg, language, licenses, mixing, pieces, pii, quality, simhash
 from .common import documents
 
 
@@ -25,6 +25,16 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(documents(spark, sf_dir))
 
 
+def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = pii.sanitise(documents(spark, sf_dir))
+    base = F.filter("places", lambda x: x.getField("kind") != "term")
+    n_of = lambda kind: F.size(F.filter("places", lambda x: x.getField("kind") == kind)).cast("long").alias(f"n_{kind}")
+    digest = F.sha2(pii.as_text(base).cast("binary"), 256)
+    return rows.select(
+        "doc_id", *map(n_of, pii.KINDS), digest.alias("base_sha256"), pii.as_text(F.col("places")).alias("spans"), F.sha2(F.col("clean_text").cast("binary"), 256).alias("clean_sha256")
+    )
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = quality.apply_policy(quality.ledger(documents(spark, sf_dir)))
     base = F.col("rule_bits").bitwiseAND(F.lit(quality.mask(quality.POLICIES["base"]))) != 0
@@ -42,7 +52,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_mix_sources, op2_language_id, op3_sentencepiece, op4_license_scan, op8_quality_rules, op9_media_jpeg, op10_simhash)
+    for f in (op1_mix_sources, op2_language_id, op3_sentencepiece, op4_license_scan, op6_personal_data, op8_quality_rules, op9_media_jpeg, op10_simhash)
 }
 
 ORACLE_SQL: dict[str, str] = {}
