@@ -14,17 +14,29 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def reliable(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the folder all executors share and cut its lineage.
+def shared_folder(spark: SparkSession) -> str:
+    """The session's ``spark.checkpoint.dir``, which all executors share; only a session without one gets a temporary folder."""
+    if spark.sparkContext.getCheckpointDir() is None:
+        own = spark.conf.get("spark.checkpoint.dir", None)
+        spark.sparkContext.setCheckpointDir(own or tempfile.mkdtemp(prefix="stratolog-checkpoint-"))
+    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+
 
-    The folder is the session's ``spark.checkpoint.dir``; only a session without one gets a temporary folder.
-    """
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="stratolog-checkpoint-"))
+def reliable(df: DataFrame) -> DataFrame:
+    """Materialise ``df`` in the folder all executors share and cut its lineage."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(True)
 
 
+#: Rows of small columns up to which a table is broadcast; beyond that the same join runs by shuffle.
+BROADCAST = 100_000
+
+
+def few(df: DataFrame) -> DataFrame:
+    """``df``, marked for broadcast if a count of its rows allows that."""
+    return F.broadcast(df) if df.limit(BROADCAST + 1).count() <= BROADCAST else df
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -10,10 +10,10 @@ by Pareto order sampling: rank by (U / (1 - U)) / (pi / (1 - pi)) and take from
 hash of the id, so reruns agree.
 
 The cut in that order is found without sorting a source in one task: two levels of histograms (``BINS`` bins each, a fixed number of rows per source)
-narrow it to one fine bin, and only that bin's documents are put in order.
+narrow it to one fine bin, and only that bin's documents are put in order.  What the documents are then compared with is one row per source.
 
-Null texts have size 0 and are never taken; null sources are one source, last; ties in rank go by id, then size; repeated rows are separate documents
-with equal ranks; an empty table gives an empty result.  Extra columns pass through unread.
+Null texts have size 0 and are never taken; null sources are one source, last; ties in rank go by id, then size, and documents equal in
+all three are taken or left together; an empty table gives an empty result.  Extra columns pass through unread.
 """
 
 from __future__ import annotations
@@ -22,15 +22,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WORD, reliable
+from .common import WORD, few, reliable
 
 BINS = 4096
 
 
-def sizes(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size (words) of every document."""
+def sizes(docs: DataFrame, *more: str) -> DataFrame:
+    """doc_id, source, size (words) of every document, and the columns ``more``."""
     n = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", n.alias("size"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", n.alias("size"), *more)
 
 
 def _level(rows: DataFrame, by: list[str], total: str, out: str) -> DataFrame:
@@ -62,9 +62,16 @@ def _uniform(*cols: str | Column) -> Column:
     return (F.shiftrightunsigned(F.xxhash64(*cols), 11).cast("double") + 0.5) / F.lit(float(2**53))
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), total: float = 1.5, most: float = 2.0, seed: int = 17) -> DataFrame:
-    """doc_id, size, source_size, target, copies, taken of every document (null counts as one source)."""
-    sized = reliable(sizes(docs))
+def _drawn(rows: DataFrame, plan: DataFrame, seed: int) -> DataFrame:
+    """rows with the plan of their source and class of size, and ``q``: their Pareto rank, mapped from (0, inf) to (0, 1) in order; null if not drawn."""
+    rows = rows.withColumn("_class", F.length(F.bin("size"))).join(few(plan), F.expr("source <=> _s and _class = _c"), "left").drop("_s", "_c", "_class")
+    u = _uniform(F.lit(seed), "doc_id")
+    odds = (u / (1 - u)) / (F.col("pi") / (1 - F.col("pi")))
+    return rows.withColumn("q", F.when((F.col("size") > 0) & (F.col("missing") > 0), odds / (1 + odds)))
+
+
+def _plan(sized: DataFrame, weights: tuple[float, ...], total: float, most: float) -> DataFrame:
+    """One row per source (_s) and class of size (_c): target, whole copies, the fraction pi to draw, and the words missing in the source."""
     goal = targets(sized, weights, total, most)
     by_class = (
         sized.groupBy("source", F.length(F.bin("size")).alias("class"))
@@ -79,38 +86,52 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), total: float =
     copies = F.least(F.lit(float(most)), F.coalesce(F.try_divide("share", "words"), F.lit(0.0)))
     whole = F.floor(F.col("expected") + 1e-9)
     by_class = by_class.withColumn("expected", copies).withColumn("whole", whole).withColumn("pi", F.greatest(F.lit(0.0), F.col("expected") - whole))
-    every = W.partitionBy("source")
-    by_class = by_class.withColumn("missing", F.greatest(F.lit(0.0), F.col("target") - F.sum(F.col("whole") * F.col("words")).over(every)))
-    plan = reliable(by_class.select(F.col("source").alias("_s"), F.col("class").alias("_class"), "source_size", "target", "whole", F.when(F.col("pi") > 1e-9, F.col("pi")).alias("pi"), "missing"))
-
-    # one row per source and class of size; the join is by both, so that even the largest source is spread over its classes, and AQE splits the rest
-    ranked = sized.withColumn("class", F.length(F.bin("size"))).join(plan, F.expr("source <=> _s and class = _class")).drop("_s", "_class")
-    u = _uniform(F.lit(seed), "doc_id")
-    odds = (u / (1 - u)) / (F.col("pi") / (1 - F.col("pi")))
-    # odds are in (0, inf); q keeps their order in (0, 1) so that bins are even
-    ranked = ranked.withColumn("q", odds / (1 + odds))
-    ranked = ranked.withColumn("bin", F.floor(F.col("q") * BINS)).withColumn("fine", F.floor(F.col("q") * BINS * BINS) % BINS)
-    ranked = reliable(ranked.drop("class", "pi"))
-
-    drawn = ranked.where("q is not null and size > 0 and missing > 0")
-    coarse = _crossing(drawn.groupBy("source", "bin").agg(F.sum("size").alias("words"), F.first("missing").alias("missing")), "bin")
-    in_bin = drawn.join(coarse.select(F.col("source").alias("_s"), F.col("bin").alias("_b"), F.col("missing_left").alias("left1")), F.expr("source <=> _s and bin = _b")).drop("_s", "_b")
-    finer = _crossing(in_bin.groupBy("source", "fine").agg(F.sum("size").alias("words"), F.first("left1").alias("missing")), "fine")
-    cut = coarse.select(F.col("source").alias("_s"), F.col("bin").alias("cut")).join(finer.select(F.col("source").alias("_s2"), F.col("fine").alias("fine_cut"), F.col("missing_left").alias("left2")), F.expr("_s <=> _s2"), "left").drop("_s2")
-    cut = reliable(cut)
-
-    rows = ranked.join(cut, F.expr("source <=> _s"), "left").drop("_s")
-    eligible = F.expr("q is not null and size > 0 and missing > 0")
-    before = eligible & ((F.col("bin") < F.col("cut")) | ((F.col("bin") == F.col("cut")) & (F.col("fine") < F.col("fine_cut"))))
-    at_cut = eligible & (F.col("bin") == F.col("cut")) & (F.col("fine") == F.col("fine_cut"))
-    rows = rows.withColumn("_in", F.coalesce(before, F.lit(False))).withColumn("_at", F.coalesce(at_cut, F.lit(False)))
-    # only the documents of one fine bin per source are put in order; take while that brings the words nearer to those missing
+    missing = F.greatest(F.lit(0.0), F.col("target") - F.sum(F.col("whole") * F.col("words")).over(W.partitionBy("source")))
+    by_class = by_class.withColumn("missing", missing)
+    pi = F.when(F.col("pi") > 1e-9, F.col("pi"))
+    return reliable(by_class.select(F.col("source").alias("_s"), F.col("class").alias("_c"), "source_size", "target", "whole", pi.alias("pi"), "missing"))
+
+
+def _cuts(drawn: DataFrame) -> DataFrame:
+    """Of each source (_s) the last document taken, in order of q, id and size: taking it brings the words nearer to those missing."""
+    binned = drawn.where("q is not null").withColumn("bin", F.floor(F.col("q") * BINS)).withColumn("fine", F.floor(F.col("q") * BINS * BINS) % BINS)
+    binned = reliable(binned.select("source", "doc_id", "size", "q", "bin", "fine", "missing"))
+    coarse = _crossing(binned.groupBy("source", "bin").agg(F.sum("size").alias("words"), F.first("missing").alias("missing")), "bin")
+    coarse = few(reliable(coarse.select(F.col("source").alias("_s"), F.col("bin").alias("_b"), "missing_left")))
+    inside = binned.drop("missing").join(coarse, F.expr("source <=> _s and bin = _b")).drop("_s", "_b")
+    finer = _crossing(inside.groupBy("source", "fine").agg(F.sum("size").alias("words"), F.first("missing_left").alias("missing")), "fine")
+    finer = few(reliable(finer.select(F.col("source").alias("_s"), F.col("fine").alias("_f"), F.col("missing_left").alias("_left"))))
+    # only the documents of one fine bin per source are put in order
+    last = inside.join(finer, F.expr("source <=> _s and fine = _f")).drop("_s", "_f")
     order = W.partitionBy("source").orderBy("q", "doc_id", "size").rowsBetween(W.unboundedPreceding, W.currentRow)
-    last = rows.where("_at").withColumn("_sum", F.sum("size").over(order))
-    last = last.withColumn("_in", F.col("_sum") - F.col("size") / 2 <= F.col("left2")).drop("_sum")
-    out = rows.where("not _at").unionByName(last)
-    out = out.withColumn("copies", (F.col("whole") + F.col("_in").cast("int")).cast("long"))
-    return out.select("doc_id", "source", "size", F.col("source_size").cast("long").alias("source_size"), "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    last = last.withColumn("_sum", F.sum("size").over(order))
+    cut = F.max(F.when(F.col("_sum") - F.col("size") / 2 <= F.col("_left"), F.struct("q", "doc_id", "size")))
+    first = F.min(F.struct("q", F.lit(None).cast("long").alias("doc_id"), F.lit(-1).cast("long").alias("size")))
+    return reliable(last.groupBy("source").agg(F.coalesce(cut, first).alias("_cut")).withColumnRenamed("source", "_s"))
+
+
+def _decided(rows: DataFrame, weights: tuple[float, ...], total: float, most: float, seed: int) -> DataFrame:
+    """rows (with doc_id, source, size) with source_size, target and copies."""
+    sized = reliable(rows.select("doc_id", "source", "size"))
+    plan = _plan(sized, weights, total, most)
+    cuts = _cuts(_drawn(sized, plan, seed))
+    rows = _drawn(rows, plan, seed).join(few(cuts), F.expr("source <=> _s"), "left").drop("_s")
+    taken = F.coalesce(F.struct("q", "doc_id", "size") <= F.col("_cut"), F.lit(False)) & F.col("q").isNotNull()
+    rows = rows.withColumn("copies", F.coalesce(F.col("whole"), F.lit(0)).cast("long") + taken.cast("long"))
+    return rows.withColumn("source_size", F.col("source_size").cast("long")).drop("whole", "pi", "missing", "q", "_cut")
+
+
+def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), total: float = 1.5, most: float = 2.0, seed: int = 17) -> DataFrame:
+    """doc_id, source, size, source_size, target, copies, taken of every document."""
+    rows = _decided(reliable(sizes(docs)), weights, total, most, seed)
+    return rows.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def expand(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), total: float = 1.5, most: float = 2.0, seed: int = 17) -> DataFrame:
+    """The columns of ``docs``, each document as often as the mix takes it."""
+    every = F.struct(*docs.columns)
+    rows = _decided(sizes(docs.withColumn("_row", every), "_row"), weights, total, most, seed).where("copies > 0")
+    return rows.select(F.explode(F.array_repeat("_row", F.col("copies").cast("int"))).alias("r")).select("r.*")
 
 
 def _crossing(bins: DataFrame, key: str) -> DataFrame:

@@ -5,8 +5,8 @@ Over the whole corpus, P(e | t) = contexts of e that hold t / documents that hol
 Contexts that are equal word for word count once, so copies of a passage are no evidence.  A term with ``SUPPORT`` contexts, P(e | t) of at least ``SHARE``
 and at least ``BITS`` bits is a finding wherever it stands: generalised in the clean text (its kind in its place), or removed when P(e | t) reaches ``REMOVE``.
 
-Everything is built from DataFrame functions.  Sets of terms and documents that the rest is compared with are counted first: up to ``BROADCAST`` rows
-they are broadcast, beyond that they are joined by shuffle.
+Everything is built from DataFrame functions.  Sets of terms and documents that the rest is compared with are counted first: few rows
+are broadcast, more are joined by shuffle.
 
 Null and empty texts have no findings.  Long texts are searched whole, with patterns that neither recurse nor look at a character twice.
 Repeated rows and rows with equal ids each get their own findings; an empty table gives an empty result; only ``doc_id`` and ``text`` are read.
@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import reliable, row_key
+from .common import few, reliable, row_key
 from .spans import located, replaced
 
 KINDS = ("email", "ip", "card", "phone", "term")
@@ -30,7 +30,6 @@ PATTERNS = {
 }
 TERM = r"\p{L}{4,}"
 SUPPORT, SHARE, BITS, REMOVE = 3, 0.5, 3.0, 0.9
-BROADCAST = 100_000
 
 _BYTE = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 
@@ -94,10 +93,6 @@ def contexts(found: DataFrame) -> DataFrame:
     return each.select("entity", F.xxhash64("terms").alias("context"), "terms").dropDuplicates(["entity", "context"])
 
 
-def _few(df: DataFrame) -> bool:
-    return df.limit(BROADCAST + 1).count() <= BROADCAST
-
-
 def disclosing_terms(docs: DataFrame, found: DataFrame | None = None) -> DataFrame:
     """term, share (the largest P(e | t)) and bits of every term beyond the thresholds."""
     found = base_findings(docs) if found is None else found
@@ -107,8 +102,7 @@ def disclosing_terms(docs: DataFrame, found: DataFrame | None = None) -> DataFra
     if pairs.isEmpty():
         return pairs.select("term", F.lit(0.0).alias("share"), F.lit(0.0).alias("bits"))
     per_entity = around.groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"))
-    candidates = pairs.select("term").distinct()
-    candidates = F.broadcast(candidates) if _few(candidates) else candidates
+    candidates = few(reliable(pairs.select("term").distinct()))
     words = docs.select(F.explode(F.array_distinct(_words(F.coalesce("text", F.lit(""))))).alias("term"))
     holding = words.join(candidates, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
     n = docs.count()
@@ -126,10 +120,9 @@ def sanitise(docs: DataFrame) -> DataFrame:
     if terms.isEmpty():
         found = found.withColumn("_terms", none)
     else:
-        flagged = F.broadcast(terms) if _few(terms) else terms
+        flagged = few(terms)
         words = docs.select(row_key("doc_id", "text").alias("_key"), F.explode(F.array_distinct(_words(F.coalesce("text", F.lit(""))))).alias("term"))
-        own = reliable(words.join(flagged, "term").groupBy("_key").agg(F.collect_set(F.struct("term", "share")).alias("_terms")))
-        own = F.broadcast(own) if _few(own) else own
+        own = few(reliable(words.join(flagged, "term").groupBy("_key").agg(F.collect_set(F.struct("term", "share")).alias("_terms"))))
         found = found.join(own, F.col("key") == F.col("_key"), "left").drop("_key").withColumn("_terms", F.coalesce("_terms", none))
     pattern = F.concat(F.lit(r"(?iu)(?<!\p{L})(?:"), F.array_join(F.transform("_terms", lambda t: t.getField("term")), "|"), F.lit(r")(?!\p{L})"))
     found = found.withColumn("_pattern", F.when(F.size("_terms") > 0, pattern).otherwise(F.lit("(?!)x")))

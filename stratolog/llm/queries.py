@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jpeg, language, licenses, mixing, pieces, pii, quality, simhash
+from . import jpeg, language, licenses, mixing, pieces, pii, quality, secrets, simhash
 from .common import documents
 
 
@@ -25,6 +25,12 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(documents(spark, sf_dir))
 
 
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = secrets.scan(documents(spark, sf_dir))
+    places = F.array_join(F.transform("secrets", lambda x: F.concat_ws(":", x.getField("start"), x.getField("end"))), ",")
+    return rows.select("doc_id", "n_candidates", F.size("secrets").cast("long").alias("n_secrets"), places.alias("spans"), F.sha2(F.col("clean_text").cast("binary"), 256).alias("clean_sha256"))
+
+
 def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = pii.sanitise(documents(spark, sf_dir))
     base = F.filter("places", lambda x: x.getField("kind") != "term")
@@ -52,7 +58,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_mix_sources, op2_language_id, op3_sentencepiece, op4_license_scan, op6_personal_data, op8_quality_rules, op9_media_jpeg, op10_simhash)
+    for f in (op1_mix_sources, op2_language_id, op3_sentencepiece, op4_license_scan, op5_secret_scan, op6_personal_data, op8_quality_rules, op9_media_jpeg, op10_simhash)
 }
 
 ORACLE_SQL: dict[str, str] = {}
