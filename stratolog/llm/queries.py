@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jpeg, language, licenses, mixing, pieces, pii, quality, secrets, simhash
+from . import jpeg, language, licenses, mixing, pieces, pii, quality, secrets, simhash, substrings
 from .common import documents
 
 
@@ -41,6 +41,10 @@ def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeated(documents(spark, sf_dir), texts=False)
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = quality.apply_policy(quality.ledger(documents(spark, sf_dir)))
     base = F.col("rule_bits").bitwiseAND(F.lit(quality.mask(quality.POLICIES["base"]))) != 0
@@ -58,7 +62,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_mix_sources, op2_language_id, op3_sentencepiece, op4_license_scan, op5_secret_scan, op6_personal_data, op8_quality_rules, op9_media_jpeg, op10_simhash)
+    for f in (op1_mix_sources, op2_language_id, op3_sentencepiece, op4_license_scan, op5_secret_scan, op6_personal_data, op7_substring_dedup, op8_quality_rules, op9_media_jpeg, op10_simhash)
 }
 
 ORACLE_SQL: dict[str, str] = {}
