@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 from .common import blocks, utf8
 
@@ -207,7 +208,7 @@ def tokenize(docs: DataFrame, model_path: str = MODEL, carry: tuple[str, ...] =
         proto = file.read()
     rows = docs.select(*dict.fromkeys([*carry, "text"]))
     schema = docs.select(*carry).schema
-    for name, kind in (("n_tokens", "long"), ("ids_sha256", "string"), ("parity", "boolean"), ("round_trip", "boolean"), *((("ids", "array<int>"),) if ids else ())):
+    for name, kind in (("n_tokens", "long"), ("ids_sha256", "string"), ("parity", "boolean"), ("round_trip", "boolean"), *((("ids", T.ArrayType(T.IntegerType())),) if ids else ())):
         schema = schema.add(name, kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
