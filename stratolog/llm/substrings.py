@@ -173,12 +173,12 @@ def repeated(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
     rows = docs.where("length(text) > 0").select(row_key("doc_id", "text").alias("key"), "text")
     path = f"{shared_folder(spark)}/segments-{uuid.uuid4().hex}"
-    rows.mapInArrow(_segments(window, k, shared, bits), "key long, first int, anchor long, segment string").write.parquet(path)
+    rows.mapInArrow(_segments(window, k, shared, bits), "key long, first int, anchor long, segment string").write.option("compression", "zstd").parquet(path)
     segments = spark.read.parquet(path)
     hashes = F.xxhash64("segment").alias("h1"), F.xxhash64(F.lit(window), "segment").alias("h2")
     distinct = segments.groupBy("anchor", "segment").agg(F.count(F.lit(1)).alias("n"))
     own = f"{shared_folder(spark)}/distinct-{uuid.uuid4().hex}"
-    distinct.select("anchor", "segment", "n", *hashes).write.parquet(own)
+    distinct.select("anchor", "segment", "n", *hashes).write.option("compression", "zstd").parquet(own)
     distinct = spark.read.parquet(own)
     per_anchor = distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("segments"))
     hot = few(reliable(per_anchor.where(F.col("segments") > HOT).select("anchor")))
