@@ -3,7 +3,7 @@
 Entities are the distinct values found by pattern.  A term (a word of four letters or more, lower case) co-occurs with an entity when it stands within five words of it.
 Over the whole corpus, P(e | t) = contexts of e that hold t / documents that hold t, and a term discloses log2(P(e | t) / P(e)) bits about e.
 Contexts that are equal word for word count once, so copies of a passage are no evidence.  A term with ``SUPPORT`` contexts, P(e | t) of at least ``SHARE``
-and at least ``BITS`` bits is a finding wherever it stands: generalised in the clean text (its kind in its place), or removed when P(e | t) reaches ``REMOVE``.
+(both among the documents that hold t and among the contexts of all entities that do) and at least ``BITS`` bits is a finding wherever it stands: generalised in the clean text (its kind in its place), or removed when P(e | t) reaches ``REMOVE``.
 
 Everything is built from DataFrame functions.  Sets of terms and documents that the rest is compared with are counted first: few rows
 are broadcast, more are joined by shuffle.
@@ -98,7 +98,9 @@ def disclosing_terms(docs: DataFrame, found: DataFrame | None = None) -> DataFra
     found = base_findings(docs) if found is None else found
     around = reliable(contexts(found))
     pairs = around.select("entity", F.explode("terms").alias("term")).groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_te")).where(F.col("n_te") >= SUPPORT)
-    pairs = reliable(pairs)
+    # a term that stands near many entities points to none of them: of all contexts that hold it, SHARE must be of this entity
+    anywhere = around.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_c"))
+    pairs = reliable(pairs.join(anywhere, "term").where(F.col("n_te") >= SHARE * F.col("n_c")).drop("n_c"))
     if pairs.isEmpty():
         return pairs.select("term", F.lit(0.0).alias("share"), F.lit(0.0).alias("bits"))
     per_entity = around.groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"))

@@ -127,7 +127,10 @@ def train(spark: SparkSession, labelled: DataFrame | None = None) -> str:
     key = (spark.sparkContext.applicationId, LABELLED, TREES, DEPTH)
     if labelled is None and key in _trained:
         return _trained[key]
-    rows = (labelled if labelled is not None else labelled_findings(spark)).select(array_to_vector(features(F.col("value"), F.col("before"), F.col("path"))).alias("features"), "label")
+    rows = labelled if labelled is not None else labelled_findings(spark)
+    # inside a lambda, where the long expression is evaluated as it is and not compiled
+    each = F.transform(F.array(F.struct("value", "before", "path")), lambda x: features(x.getField("value"), x.getField("before"), x.getField("path")))
+    rows = rows.select(array_to_vector(each[0]).alias("features"), "label")
     model = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=5, featureSubsetStrategy="sqrt").fit(rows)
     sql = forest_sql(model.toDebugString)
     if labelled is None:

@@ -1,0 +1,377 @@
+"""Every operator against a brute-force version over the same odd corpus, and on an empty table."""
+
+import hashlib
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from stratolog.llm import jpeg, language, licenses, mixing, pii, quality, secrets, simhash, substrings
+
+from .conftest import sorted_rows
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def lower(text):
+    return (text or "").translate({c: c + 32 for c in range(65, 91)})
+
+
+def same(got, expected):
+    assert Counter(map(tuple, got)) == Counter(expected)
+
+
+# mixing
+
+
+def brute_targets(sizes, weights=(3, 1, 2)):
+    names = sorted((s for s in sizes if s is not None), key=lambda s: s.encode()) + [None] * (None in sizes)
+    weight = {s: weights[k % 3] for k, s in enumerate(names)}
+    total, target, free = 1.5 * sum(sizes.values()), {}, set(names)
+    while True:
+        left = total - sum(target.values())
+        share = {s: left * weight[s] / sum(weight[f] for f in free) for s in free}
+        over = [s for s in free if share[s] >= 2 * sizes[s]]
+        if not over:
+            return target | share
+        for s in over:
+            target[s] = 2.0 * sizes[s]
+            free.discard(s)
+
+
+def test_mix(docs, rows):
+    sizes = defaultdict(int)
+    for _, t, _, s in rows:
+        sizes[s] += len(WORD.findall(t or ""))
+    target = brute_targets(dict(sizes))
+    got = mixing.mix(docs).collect()
+    same([(r.doc_id, r.source, r["size"], r.source_size) for r in got], [(i, s, len(WORD.findall(t or "")), sizes[s]) for i, t, _, s in rows])
+    taken = defaultdict(int)
+    for r in got:
+        assert r.target == pytest.approx(target[r.source])
+        assert r.copies in (0, 1, 2) and r.taken == r.copies * r["size"]
+        taken[r.source] += r.taken
+    longest = max(r["size"] for r in got)
+    for s, t in target.items():
+        assert abs(taken[s] - t) <= max(1, max((r["size"] for r in got if r.source == s), default=0)), (s, taken[s], t, longest)
+    assert sorted_rows(mixing.mix(docs), "doc_id", "taken") == sorted((tuple((r.doc_id, r.taken)) for r in got), key=repr)
+    expanded = mixing.expand(docs)
+    assert expanded.columns == docs.columns
+    assert expanded.count() == sum(r.copies for r in got)
+
+
+def test_mix_unequal_probabilities(spark):
+    many = spark.range(4000).select(F.col("id").alias("doc_id"), F.array_join(F.array_repeat(F.lit("w"), F.when(F.col("id") % 2 == 0, 2).otherwise(200)), " ").alias("text"), F.lit("s").alias("source"))
+    got = mixing.mix(many, total=0.5).groupBy("size").agg(F.avg("copies").alias("c"), F.sum("taken").alias("t")).collect()
+    mean = {r["size"]: r.c for r in got}
+    assert mean[200] > 1.5 * mean[2] > 0  # larger documents are likelier
+    assert sum(r.t for r in got) == pytest.approx(0.5 * 2000 * 202, abs=200)
+
+
+# language
+
+
+def test_language(docs, rows):
+    got = language.identify(docs).collect()
+    held = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 5 == 0
+    same([(r.doc_id, r.held_out) for r in got], [(i, held(i)) for i, *_ in rows])
+    truth = {i: (t, lang) for i, t, lang, _ in rows[:75]}
+    right = [r.lang_pred == truth[r.doc_id][1] for r in got if r.doc_id in truth and r.held_out and len(truth[r.doc_id][0]) > 100]
+    assert np.mean(right) > 0.9
+    for r in got:
+        assert 0 <= r.score <= 1 and r.lang_pred in ("en", "de", "fr", "und")
+    texts = {i: t for i, t, *_ in rows}
+    for r in got:
+        if r.doc_id is not None and r.doc_id != rows[5][0]:
+            letters = any(c.isalpha() for c in texts[r.doc_id] or "")
+            assert (r.lang_pred == "und") == (not letters)
+
+
+def test_codewords_stay_apart():
+    for k in (2, 3, 4, 5, 9, 30):
+        code = language.codewords(k)
+        apart = min(int((code[a] != code[b]).sum()) for a in range(k) for b in range(a))
+        assert apart >= {2: 1, 3: 2, 4: 4, 5: 8}.get(k, 5)
+
+
+# licences
+
+
+def test_licenses(docs, rows):
+    word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    expected = []
+    for i, t, *_ in rows:
+        words, at, labels = word.findall(lower(t)), [], set()
+        for phrase, label in licenses.PHRASES.items():
+            p = phrase.split()
+            hits = [k for k in range(len(words) - len(p) + 1) if words[k : k + len(p)] == p]
+            at += hits
+            labels |= {label} if hits else set()
+        expected.append((i, len(words), len(at), min(at, default=None), max(at, default=None), ",".join(sorted(labels))))
+    got = licenses.scan_licenses(docs).collect()
+    same([r[:6] for r in got], expected)
+    notice = next(r for r in got if "mit" in (r.labels or ""))
+    assert set(notice.labels.split(",")) == {"cc-by", "gpl", "mit", "reserved"}
+    span = next(s for s in notice.spans if s.label == "mit")
+    text = next(t for i, t, *_ in rows if i == notice.doc_id)
+    assert text[span.start : span.end] == "Released under the MlT Licence" and span.edits == 2
+
+
+def test_fuzzy_notices_equal_full_search():
+    import regex
+
+    rng = np.random.default_rng(1)
+    for text, label in licenses.NOTICES:
+        k = licenses.allowed_edits(text)
+        for edits in range(k + 2):
+            body = list(text)
+            for at in sorted(rng.choice(len(body), edits, replace=False)):
+                body[at] = "§"
+            long = "some words before " + "".join(body) + " and after"
+            found = [s for s in licenses.fuzzy_notices(long) if s[0] == label]
+            full = regex.search(rf"(?b)(?:{regex.escape(text)}){{e<={k}}}", long)
+            assert bool(found) == bool(full)
+
+
+# secrets
+
+
+def test_secrets(docs, rows):
+    got = {r.doc_id: r for r in secrets.scan(docs).collect()}
+    texts = {i: t or "" for i, t, *_ in rows}
+    token = next(i for i, t in texts.items() if t.startswith("token ="))
+    commit = next(i for i, t in texts.items() if t.startswith("fixed in commit"))
+    (found,) = got[token].secrets
+    assert texts[token][found.start : found.end] == "0123456789abcdef" * 2 + "01234567"
+    assert got[token].clean_text == texts[token].replace("0123456789abcdef" * 2 + "01234567", "[SECRET]")
+    assert got[commit].n_candidates == 2 and not got[commit].secrets
+    prose = [i for i, t, *_ in rows[:75]]
+    assert all(not got[i].secrets for i in prose)
+    clean = secrets.redact(docs)
+    assert clean.columns == docs.columns and clean.count() == len(rows)
+    assert clean.where("text is null").count() == sum(t is None for _, t, *_ in rows)
+
+
+def test_forest_equals_spark_ml(spark):
+    from pyspark.ml.classification import RandomForestClassifier
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    labelled = secrets.labelled_findings(spark, 2000)
+    each = F.transform(F.array(F.struct("value", "before", "path")), lambda x: secrets.features(x.getField("value"), x.getField("before"), x.getField("path")))
+    rows = labelled.select("id", each[0].alias("f"), "label").withColumn("features", array_to_vector("f")).cache()
+    model = RandomForestClassifier(numTrees=5, maxDepth=4, seed=5).fit(rows.where("crc32(cast(id as string)) % 5 <> 0"))
+    held = model.transform(rows.where("crc32(cast(id as string)) % 5 = 0")).withColumn("own", F.expr(secrets.forest_sql(model.toDebugString)))
+    assert held.where("prediction = label").count() >= 0.95 * held.count()
+    votes = held.select("own", vector_to_array("rawPrediction")[1].alias("soft")).collect()
+    assert all(0 <= r.own <= 1 and abs(r.own - r.soft / 5) < 0.35 for r in votes)
+
+
+# personal data
+
+PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+
+
+def luhn(digits):
+    return sum(sum(divmod(2 * int(c), 10)) if k % 2 else int(c) for k, c in enumerate(reversed(digits))) % 10 == 0
+
+
+def personal(text):
+    found = []
+    for n, (kind, pattern) in enumerate(PATTERNS.items()):
+        for m in re.finditer(pattern, text or ""):
+            digits = re.sub("[^0-9]", "", m[0])
+            ok = {"email": True, "ip": all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split(".")) if kind == "ip" else True, "card": 12 <= len(digits) <= 19 and luhn(digits), "phone": 9 <= len(digits) <= 15}[kind]
+            if ok:
+                found.append((m.start(), n, kind, m.end()))
+    return ",".join(f"{kind}:{a}:{b}" for a, _, kind, b in sorted(found))
+
+
+def test_personal_data(docs, rows):
+    got = pii.sanitise(docs).select("doc_id", pii.as_text(F.filter("places", lambda x: x.getField("kind") != "term")), "clean_text").collect()
+    same([r[:2] for r in got], [(i, personal(t)) for i, t, *_ in rows])
+    assert any(r[2].count("[EMAIL]") == 1 and "[PHONE]" in r[2] and "[CARD]" in r[2] and "[IP]" in r[2] for r in got)
+
+
+def test_disclosing_terms(spark):
+    texts = [f"word{chr(97 + k)} filler zorblax wrote to jane@doe.org about thing{chr(97 + k)} matters" for k in range(6)]
+    texts += [f"nothing here filler wrote about matters number{chr(97 + k % 20)}" for k in range(100)]
+    texts += ["copied passage uniqueword near bob@doe.org again"] * 20  # copies are one piece of evidence
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    terms = {r.term: r for r in pii.disclosing_terms(frame).collect()}
+    assert "zorblax" in terms and terms["zorblax"].share == 1.0
+    assert "uniqueword" not in terms and "filler" not in terms
+    clean = {r.doc_id: r for r in pii.sanitise(frame).collect()}
+    assert "zorblax" not in clean[0].clean_text and "[EMAIL]" in clean[0].clean_text
+    assert [p.kind for p in clean[0].places] == ["term", "email"]
+    assert clean[50].clean_text == texts[50]
+
+
+# substrings
+
+
+def brute_removed(rows, window):
+    words = [[w.encode() for w in WORD.findall(t or "")] for _, t, *_ in rows]
+    seen = Counter(tuple(w[k : k + window]) for w in words for k in range(len(w) - window + 1))
+    for (i, *_), w in zip(rows, words):
+        gone = [False] * len(w)
+        for k in range(len(w) - window + 1):
+            if seen[tuple(w[k : k + window])] > 1:
+                gone[k : k + window] = [True] * window
+        yield i, len(w), sum(gone), hashlib.sha256(b" ".join(x for x, g in zip(w, gone) if not g)).hexdigest()
+
+
+@pytest.mark.parametrize("window, hot", [(35, 2000), (35, 1), (4, 3), (1, 2000)])
+def test_substrings(docs, rows, window, hot, monkeypatch):
+    monkeypatch.setattr(substrings, "HOT", hot)
+    got = substrings.remove_repeated(docs, window, texts=False).collect()
+    same(got, list(brute_removed(rows, window)))
+
+
+def test_fm_index_windows():
+    from stratolog.llm.fmindex import FMIndex
+
+    rng = np.random.default_rng(5)
+    for _ in range(60):
+        window = int(rng.integers(1, 7))
+        parts = [rng.integers(1, int(rng.integers(2, 6)), int(rng.integers(window, window + 20))) for _ in range(int(rng.integers(1, 12)))]
+        text = np.concatenate([np.append(p, 0) for p in parts])
+        first = np.cumsum([0, *(len(p) + 1 for p in parts[:-1])])
+        last = first + np.array([len(p) for p in parts]) - window
+        grams = Counter(tuple(p[k : k + window]) for p in parts for k in range(len(p) - window + 1))
+        expected = [sum(1 << k for k in range(len(p) - window + 1) if grams[tuple(p[k : k + window])] > 1) for p in parts]
+        assert FMIndex(text, 2 * window + 40).repeated_windows(first, last, window).tolist() == expected
+
+
+# quality
+
+
+def test_quality(docs, rows):
+    expected = []
+    for i, t, *_ in rows:
+        t = t or ""
+        words = WORD.findall(t)
+        grams = Counter(zip(words, words[1:], words[2:]))
+        covered = {j for k, g in enumerate(zip(words, words[1:], words[2:])) if grams[g] > 1 for j in (k, k + 1, k + 2)}
+        lines = [x for x in t.split("\n") if WORD.search(x)]
+        expected.append((i, len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), len(covered)))
+    ledger = quality.ledger(docs).cache()
+    same(ledger.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words").collect(), expected)
+    base = quality.apply_policy(ledger, "base")
+    short = {i for i, n, *_ in expected if n < 50}
+    assert all((r.kept is False) >= (r.doc_id in short) for r in base.collect() if r.doc_id != rows[5][0])
+    bits = [r.rule_bits for r in ledger.select("rule_bits").collect()]
+    for r in quality.ablations(ledger).collect():
+        bit = quality.mask([r.rule])
+        assert (r.fails, r.fails_alone, r.kept_without) == (sum(b & bit > 0 for b in bits), bits.count(bit), sum(b & ~bit == 0 for b in bits))
+
+
+# media
+
+
+def test_jpeg(docs, rows):
+    got = jpeg.store(docs).collect()
+    expected = []
+    for i, t, *_ in rows:
+        raw = (t or "").encode()
+        full = raw + b" " * (192 if not raw else -len(raw) % 192)
+        expected.append((i, len(raw), len(full), hashlib.sha256(full).hexdigest(), zlib.crc32(full[-16:])))
+    same([r[:5] for r in got], expected)
+    for r in got[:20]:
+        assert r.media[:2] == b"\xff\xd8" and r.media[-2:] == b"\xff\xd9"
+        assert r.media_bytes == len(r.media) and r.media_sha256 == hashlib.sha256(r.media).hexdigest()
+
+
+def test_jpeg_round_trip_of_any_bytes():
+    rng = np.random.default_rng(2)
+    payloads = [rng.integers(0, 256, 192 * int(n), dtype=np.uint8).tobytes() for n in (1, 2, 9, 40, 8001)] + [b"\x00\xff" * 96, b"\xff" * 192]
+    assert [x.tobytes() for x in jpeg.decode(jpeg.encode(payloads))] == payloads
+
+
+def test_jpeg_reads_over_ac_coefficients():
+    stream = jpeg.encode([b"a" * 192])[0]
+    # a table with a run symbol, and a scan whose first block has one AC coefficient before its end
+    lengths = {0: 1, 0x01: 2}
+    head = stream[: stream.index(b"\xff\xc4\x00\x14")] + jpeg._dht(1, lengths) if b"\xff\xc4\x00\x14" in stream else None
+    code, length = jpeg._CODES[abs(ord("a") - 128).bit_length()]
+    value = ord("a") - 128
+    size = abs(value).bit_length()
+    zero_code, zero_length = jpeg._CODES[0]
+    bits = f"{code:0{length}b}{value + (1 << size) - 1:0{size}b}" + "10" + "1" + "0" + (f"{zero_code:0{zero_length}b}" + "0") * 191
+    bits += "1" * (-len(bits) % 8)
+    scan = int(bits, 2).to_bytes(len(bits) // 8, "big").replace(b"\xff", b"\xff\x00")
+    tail = stream[stream.index(b"\xff\xdd") :]
+    sos = tail.index(b"\xff\xda")
+    made = head + tail[: sos + 10] + scan + b"\xff\xd9"
+    assert jpeg.decode([made])[0].tobytes() == b"a" * 192
+
+
+# near-duplicates
+
+
+def brute_fingerprint(text):
+    words = WORD.findall(lower(text))
+    if not words:
+        return 0
+    shingles = [" ".join(words[k : k + 4]) for k in range(max(1, len(words) - 3))]
+    hashes = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def brute_components(items, radius):
+    """items: (id, fingerprint); the least id reachable from each."""
+    leader = list(range(len(items)))
+
+    def find(x):
+        while leader[x] != x:
+            x = leader[x]
+        return x
+
+    for a in range(len(items)):
+        for b in range(a):
+            if (items[a][1] ^ items[b][1]).bit_count() <= radius:
+                leader[find(a)] = find(b)
+    least = defaultdict(list)
+    for k, (i, _) in enumerate(items):
+        if i is not None:
+            least[find(k)].append(i)
+    return [min(least[find(k)], default=None) for k in range(len(items))]
+
+
+def test_simhash(docs, rows):
+    items = [(i, brute_fingerprint(t)) for i, t, *_ in rows]
+    roots = brute_components(items, 4)
+    got = simhash.near_duplicates(docs).collect()
+    same([(r.doc_id, r.fp % 2**64, r.component_id) for r in got], [(i, f, c) for (i, f), c in zip(items, roots)])
+    kept = simhash.one_of_each(docs)
+    assert kept.columns == docs.columns
+    ids = [r.doc_id for r in kept.select("doc_id").collect()]
+    assert set(ids) == set(roots)
+
+
+def test_simhash_links_of_many_tiles(spark):
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 2**63, 300, dtype=np.uint64)
+    near = [int(b) ^ sum(1 << int(x) for x in rng.choice(64, int(rng.integers(0, 7)), replace=False)) for b in base for _ in range(3)]
+    fps = sorted({int(b) for b in base} | set(near) | {0, 2**64 - 1})
+    frame = spark.createDataFrame([(x - 2**64 if x >= 2**63 else x,) for x in fps], "fp long")
+    found = simhash.components(simhash.links(frame, 4, tile=64))
+    root = {r.node % 2**64: r.root % 2**64 for r in found.collect()}
+    groups = defaultdict(set)
+    for x in fps:
+        groups[root.get(x, x)].add(x)
+    expected = defaultdict(set)
+    for x, least in zip(fps, brute_components([(x, x) for x in fps], 4)):
+        expected[least].add(x)
+    assert sorted(map(sorted, groups.values())) == sorted(map(sorted, expected.values()))
+
+
+# all of them
+
+
+def test_empty_tables(empty):
+    for made in (mixing.mix(empty), language.identify(empty), licenses.scan_licenses(empty), secrets.scan(empty), pii.sanitise(empty), substrings.remove_repeated(empty), quality.ledger(empty), jpeg.store(empty), simhash.near_duplicates(empty), simhash.one_of_each(empty), mixing.expand(empty)):
+        assert made.count() == 0
