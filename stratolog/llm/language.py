@@ -156,9 +156,7 @@ def _predictor(model: Model | None, carry: list[str]):
     return predict
 
 
-def annotate(docs: DataFrame, carry: list[str], model: Model | None = None) -> DataFrame:
-    """The columns ``carry`` of every document (``text`` is read, and kept if named) with lang_pred, score and ambiguous."""
-    model = model or train(docs)
+def _annotated(docs: DataFrame, carry: list[str], model: Model | None) -> DataFrame:
     schema = docs.select(*carry).schema
     for name, kind in (("lang_pred", "string"), ("score", "double"), ("ambiguous", "boolean")):
         schema = schema.add(name, kind)
@@ -166,8 +164,12 @@ def annotate(docs: DataFrame, carry: list[str], model: Model | None = None) -> D
     return rows.mapInArrow(_predictor(model, carry), schema)
 
 
+def annotate(docs: DataFrame, carry: list[str], model: Model | None = None) -> DataFrame:
+    """The columns ``carry`` of every document (``text`` is read, and kept if named) with lang_pred, score and ambiguous."""
+    return _annotated(docs, carry, model or train(docs))
+
+
 def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """One row per document.  Trains on ``docs`` when no model is given."""
-    model = model or train(docs)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", held_out().alias("held_out"))
-    return annotate(rows, ["doc_id", "held_out"], model)
+    return _annotated(rows, ["doc_id", "held_out"], model or train(docs))
