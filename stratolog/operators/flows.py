@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Events of an object are in order of time, then id; events without a time come last.
-_ORDER = (F.col("ts").asc_nulls_last(), F.col("eid"))
+
+def _order() -> tuple:
+    """Events of an object are in order of time, then id; events without a time come last."""
+    return F.col("ts").asc_nulls_last(), F.col("eid")
 
 
 def object_variants(relations: DataFrame) -> DataFrame:
@@ -20,7 +22,7 @@ def object_variants(relations: DataFrame) -> DataFrame:
 
 def directly_follows(relations: DataFrame) -> DataFrame:
     """layer, otype, activity, follower, n."""
-    own = W.partitionBy("layer", "otype", "oid").orderBy(*_ORDER)
+    own = W.partitionBy("layer", "otype", "oid").orderBy(*_order())
     rows = relations.withColumn("follower", F.lead("activity").over(own)).where("follower is not null")
     return rows.groupBy("layer", "otype", "activity", "follower").agg(F.count(F.lit(1)).alias("n"))
 

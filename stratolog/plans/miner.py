@@ -1,7 +1,8 @@
 """Net discovery: process trees by recursive cuts of the directly-follows graph (inductive mining), turned into accepting nets.
 
 Few variants are mined exactly: each cut splits the traces themselves, so every trace replays.  Many variants are mined from the graph alone: cuts split
-the graph.  Where no cut applies, a loop over all activities accepts anything.
+the graph, which keeps all traces only as far as the graph shows what may follow what.  Where no cut applies, traces are cut into rounds of a loop, and
+else a loop over all activities accepts anything.
 """
 
 from __future__ import annotations
@@ -142,6 +143,16 @@ def _split(log: Log, kind: str, parts: list[frozenset[str]]) -> list[Log]:
 _CUTS = (("xor", _choice), ("seq", _sequence), ("par", _parallel), ("loop", _loop))
 
 
+def _repeats(log: Log, graph: Graph) -> Log | None:
+    """The traces cut wherever an end is followed by a start, or None if none of them is: rounds of a loop without anything in between."""
+    rounds: Log = defaultdict(int)
+    for trace, n in log.items():
+        cuts = [0, *(k for k in range(1, len(trace)) if trace[k - 1] in graph.ends and trace[k] in graph.starts), len(trace)]
+        for a, b in zip(cuts, cuts[1:]):
+            rounds[trace[a:b]] += n
+    return dict(rounds) if sum(rounds.values()) > sum(log.values()) else None
+
+
 def _flower(activities: Iterable[str]) -> Tree:
     return ("loop", (SILENT, *(("leaf", a) for a in sorted(activities))))
 
@@ -164,6 +175,8 @@ def mine(log: Log) -> Tree:
     for kind, cut in _CUTS:
         if parts := cut(graph):
             return _joined(kind, [mine(x) for x in _split(log, kind, parts)])
+    if rounds := _repeats(log, graph):
+        return ("loop", (mine(rounds), SILENT))
     return _flower(graph.nodes)
 
 
