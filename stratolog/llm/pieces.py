@@ -114,11 +114,16 @@ class Model:
                 found += [(-score, i, ids[a], a, b) for a, b in halves if a in ids and b in ids]
         return [(a, b) for *_, a, b in sorted(found)]
 
-    def encode(self, texts: list[str]) -> tuple[list[list[int]], np.ndarray]:
-        """Ids of each text, and whether the sentencepiece library gives the same."""
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
-        theirs = self.processor.encode(texts, num_threads=1) if texts else []
-        return ids, np.array([a == b for a, b in zip(ids, theirs)], bool)
+    def encode(self, texts: list[str], most: int = 20_000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of all texts, the offsets of each text's, and whether the sentencepiece library gives the same; ``most`` texts at a time."""
+        ids, sizes, same = [np.zeros(0, np.int32)], [0], []
+        for at in range(0, len(texts), most):
+            some = texts[at : at + most]
+            own = [e.ids for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
+            same += [a == b for a, b in zip(own, self.processor.encode(some, num_threads=1))]
+            sizes += map(len, own)
+            ids.append(np.fromiter((i for x in own for i in x), np.int32))
+        return np.concatenate(ids), np.cumsum(sizes), np.array(same, bool)
 
     def decode_bytes(self, ids: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Decoded bytes of rows of ids (``ends``: n + 1 offsets) and their offsets; the dummy blank in front is still there."""
@@ -141,12 +146,6 @@ def load(proto: bytes) -> Model:
     return Model(proto)
 
 
-def _flat(rows: list) -> tuple[np.ndarray, np.ndarray]:
-    ends = np.zeros(len(rows) + 1, np.int64)
-    np.cumsum([len(r) for r in rows], out=ends[1:])
-    return np.fromiter((i for r in rows for i in r), np.int32, int(ends[-1])), ends
-
-
 def encode_column(model: Model, column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """Per block of rows: ids, their offsets, parity and round trip of each row."""
     text = pc.fill_null(column, "").cast(pa.large_string())
@@ -159,10 +158,9 @@ def encode_column(model: Model, column: pa.Array) -> Iterator[tuple[np.ndarray,
         word_ends = split.offsets.to_numpy().astype(np.int64) - split.offsets[0].as_py()
         words, index = coded.dictionary.to_pylist(), coded.indices.to_numpy()
         del split, coded
-        ids, same = model.encode(words)
-        flat, ends = _flat(ids)
-        del ids
+        flat, ends, same = model.encode(words)
         empty = np.array([w == "" for w in words], bool)
+        del words
         gaps = np.concatenate([[0], np.cumsum(empty[index])])
         whole = mark | (gaps[word_ends[1:]] > gaps[word_ends[:-1]])
     else:
@@ -170,8 +168,8 @@ def encode_column(model: Model, column: pa.Array) -> Iterator[tuple[np.ndarray,
     for lo, hi in blocks(offsets, 2 << 20):
         if whole[lo:hi].any():
             rows = [k for k in range(lo, hi) if whole[k]]
-            own, parity = model.encode([text[k].as_py() for k in rows])
-            special = {k: (np.array(i, np.int32), bool(p)) for k, i, p in zip(rows, own, parity)}
+            own, own_ends, parity = model.encode([text[k].as_py() for k in rows])
+            special = {k: (own[a:b], bool(p)) for k, a, b, p in zip(rows, own_ends, own_ends[1:], parity)}
         else:
             special = {}
         parts, equal = [], np.ones(hi - lo, bool)

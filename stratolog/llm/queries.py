@@ -65,4 +65,19 @@ QUERIES = {
     for f in (op1_mix_sources, op2_language_id, op3_sentencepiece, op4_license_scan, op5_secret_scan, op6_personal_data, op7_substring_dedup, op8_quality_rules, op9_media_jpeg, op10_simhash)
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op8_quality_rules": r"""
+        WITH w AS (SELECT doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS words, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
+            FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)),
+        win AS (SELECT doc_id, i, words[i] AS a, words[i + 1] AS b, words[i + 2] AS c FROM (SELECT doc_id, words, unnest(range(1, len(words) - 1)) AS i FROM w WHERE len(words) >= 3)),
+        again AS (SELECT doc_id, a, b, c FROM win GROUP BY doc_id, a, b, c HAVING count(*) > 1),
+        covered AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM win JOIN again USING (doc_id, a, b, c), (SELECT unnest([0, 1, 2]) AS k) GROUP BY doc_id),
+        m AS (SELECT w.doc_id, len(words) AS n_words, coalesce(CAST(list_sum(list_transform(words, lambda x: length(x))) AS BIGINT), 0) AS word_chars,
+                len(regexp_extract_all(t, '[#*$%&|<>]')) AS n_symbols, length(t) AS n_chars, len(regexp_extract_all(t, '[A-Z]')) AS n_upper, len(regexp_extract_all(t, '!')) AS n_exclaim,
+                len(lines) AS n_lines, len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words
+            FROM w LEFT JOIN covered ON covered.doc_id = w.doc_id),
+        r AS (SELECT *, CAST("""
+    + " + ".join(f"CASE WHEN {rule} THEN {1 << k} ELSE 0 END" for k, rule in enumerate(quality.RULES.values()))
+    + """ AS BIGINT) AS rule_bits FROM m)
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, rule_bits = 0 AS kept, rule_bits FROM r""",
+}
