@@ -31,9 +31,10 @@ def _solution(log: Log, name: str, sf_dir: str) -> dict[str, int]:
     return _solutions[key]
 
 
-def _layer_logs(spark: SparkSession, sf_dir: str, explicit: bool = False) -> sublog.LayerLogs:
+def _layer_logs(spark: SparkSession, sf_dir: str, explicit: bool = False, context: int = 1) -> sublog.LayerLogs:
     log = order_to_cash(spark, sf_dir, explicit_edges=explicit)
-    return sublog.LayerLogs(log, sublog.layer_frame(spark, _solution(log, f"explicit={explicit}", sf_dir)))
+    found = _solution(log, f"explicit={explicit}", sf_dir)
+    return sublog.LayerLogs(log, sublog.layer_frame(spark, found), dict.fromkeys(found.values(), context))
 
 
 def _text(column: str):
@@ -44,8 +45,8 @@ def _of_log(make: Callable[[Log], DataFrame], **how) -> Query:
     return lambda spark, sf_dir: make(order_to_cash(spark, sf_dir, **how))
 
 
-def _of_layers(make: Callable[[sublog.LayerLogs], DataFrame], explicit: bool = False) -> Query:
-    return lambda spark, sf_dir: make(_layer_logs(spark, sf_dir, explicit))
+def _of_layers(make: Callable[[sublog.LayerLogs], DataFrame], explicit: bool = False, context: int = 1) -> Query:
+    return lambda spark, sf_dir: make(_layer_logs(spark, sf_dir, explicit, context))
 
 
 def _lifespan(log: Log) -> DataFrame:
@@ -111,7 +112,9 @@ QUERIES: dict[str, Query] = {
     "layer_events": _of_layers(lambda x: x.events().select("layer", "eid", "activity", _text("ts"))),
     "layer_relations": _of_layers(lambda x: x.relations().select("layer", "eid", "oid", "otype")),
     "layer_objects": _of_layers(lambda x: x.objects()),
-    "layer_o2o": _of_layers(lambda x: x.edges(), explicit=True),
+    "layer_o2o": _of_layers(lambda x: x.edges(), explicit=True, context=3),
+    "layer_objects_context": _of_layers(lambda x: x.objects(), context=3),
+    "activity_resources_context": _of_layers(lambda x: x.activity_resources().select("layer", "activity", F.array_join("resources", ",").alias("resources")), context=3),
     "activity_resources": _of_layers(lambda x: x.activity_resources().select("layer", "activity", F.array_join("resources", ",").alias("resources"))),
     "highlighted_activities": _of_layers(lambda x: x.highlighted_activities()),
     "object_variants": _of_layers(lambda x: flows.object_variants(x.relations()).select("layer", "otype", F.array_join("trace", ",").alias("trace"), "objects")),
@@ -189,7 +192,7 @@ _TABLES = {
     "lay": "SELECT otype, CAST(min(z) AS INTEGER) AS layer FROM asg JOIN cost USING (id) WHERE cost = (SELECT min(cost) FROM cost) GROUP BY otype",
     "own": "SELECT eid, activity, ts, oid, otype, layer FROM rel JOIN ev USING (eid) JOIN lay USING (otype)",
     "al": "SELECT activity, min(layer) AS activity_layer FROM own GROUP BY activity",
-    "la": "SELECT layer, activity, activity_layer FROM (SELECT DISTINCT layer FROM lay), al WHERE activity_layer <= layer AND layer - activity_layer <= 1",
+    "la": "SELECT layer, activity, activity_layer FROM (SELECT DISTINCT layer FROM lay), al WHERE activity_layer <= layer AND layer - activity_layer <= {context}",
     "lr": "SELECT DISTINCT o.layer, eid, o.activity, ts, oid, otype FROM own o JOIN la ON la.layer = o.layer AND la.activity = o.activity",
     "le": "SELECT DISTINCT layer, eid, activity, ts FROM lr",
     "lo": "SELECT DISTINCT layer, oid, otype FROM lr",
@@ -214,9 +217,9 @@ _TABLES = {
 }
 
 
-def _sql(final: str, events: str = "ev", related: str = "related_plain", **other: str) -> str:
+def _sql(final: str, events: str = "ev", related: str = "related_plain", context: int = 1, **other: str) -> str:
     """The final query with the tables it needs, in order."""
-    tables = {k: v.replace("{ev}", events).replace("{related}", related) for k, v in (_TABLES | other).items()}
+    tables = {k: v.replace("{ev}", events).replace("{related}", related).replace("{context}", str(context)) for k, v in (_TABLES | other).items()}
     done: dict[str, str] = {}
 
     def need(text: str, own: str = "") -> None:
@@ -240,6 +243,9 @@ def _other_log(table: str) -> dict[str, str]:
 _TYPES = ("customer", "item", "order", "part", "supplier")
 _MATRIX = "SELECT source_type, target_type, push, pull FROM matrix"
 
+_RESOURCES = """SELECT lan.layer, lan.activity, coalesce(string_agg(otype, ',' ORDER BY own DESC, otype) FILTER (WHERE 2 * k >= n), '') AS resources
+    FROM lan LEFT JOIN higher ON higher.layer = lan.layer AND higher.activity = lan.activity GROUP BY lan.layer, lan.activity"""
+
 ORACLE_SQL: dict[str, str] = {
     "events_log": _sql("SELECT eid, activity, CAST(ts AS VARCHAR) AS ts FROM ev"),
     "e2o": _sql("SELECT eid, oid FROM rel"),
@@ -273,9 +279,10 @@ ORACLE_SQL: dict[str, str] = {
     "layer_events": _sql("SELECT layer, eid, activity, CAST(ts AS VARCHAR) AS ts FROM le"),
     "layer_relations": _sql("SELECT layer, eid, oid, otype FROM lr"),
     "layer_objects": _sql("SELECT layer, oid, otype FROM lo"),
-    "layer_o2o": _sql("SELECT a.layer, src, dst FROM edge JOIN lo a ON a.oid = src JOIN lo b ON b.oid = dst AND b.layer = a.layer", related="related_more"),
-    "activity_resources": _sql("""SELECT lan.layer, lan.activity, coalesce(string_agg(otype, ',' ORDER BY own DESC, otype) FILTER (WHERE 2 * k >= n), '') AS resources
-        FROM lan LEFT JOIN higher ON higher.layer = lan.layer AND higher.activity = lan.activity GROUP BY lan.layer, lan.activity"""),
+    "layer_o2o": _sql("SELECT a.layer, src, dst FROM edge JOIN lo a ON a.oid = src JOIN lo b ON b.oid = dst AND b.layer = a.layer", related="related_more", context=3),
+    "layer_objects_context": _sql("SELECT layer, oid, otype FROM lo", context=3),
+    "activity_resources": _sql(_RESOURCES),
+    "activity_resources_context": _sql(_RESOURCES, context=3),
     "highlighted_activities": _sql("SELECT DISTINCT le.layer, le.activity FROM le JOIN al ON al.activity = le.activity WHERE activity_layer = le.layer - 1"),
     "object_variants": _sql("SELECT layer, otype, trace, count(*) AS objects FROM (SELECT layer, otype, oid, string_agg(activity, ',' ORDER BY pos) AS trace FROM steps GROUP BY layer, otype, oid) GROUP BY layer, otype, trace"),
     "dfg": _sql("SELECT layer, otype, activity, follower, n FROM df_"),
