@@ -164,7 +164,8 @@ def diverging_targets(log: Log) -> DataFrame:
     kinds = log.typed.select("eid", F.col("otype").alias("dtype")).distinct()
     own = log.typed.join(log.events.select("eid", "activity"), "eid").select("eid", "activity", F.col("oid").alias("src"), F.col("otype").alias("stype"))
     seen = own.join(kinds, "eid").where("stype <> dtype").groupBy("activity", "src", "dtype").agg(F.count(F.lit(1)).alias("n"))
-    seen = seen.select(F.col("activity").alias("_a"), F.col("src").alias("_s"), F.col("dtype").alias("_d"), "n")
+    # whoever has a single event cannot diverge; without them this side is often small enough for AQE to broadcast
+    seen = seen.where("n > 1").select(F.col("activity").alias("_a"), F.col("src").alias("_s"), F.col("dtype").alias("_d"), "n")
     rows = log.meetings.join(seen, F.expr("activity <=> _a and src = _s and dtype = _d"))
     return rows.where("k < n").select("activity", "src", "stype", "dst", "dtype", "k", "n")
 

@@ -11,6 +11,7 @@ from ..functions.palette import type_colors
 from .fragments import Fragment
 from .net import Key, OCNet, transition_key
 
+#: Fixed value: the fill of highlighted activities.
 HIGHLIGHT = "#f7d7a6"
 FALLBACK = "#cccccc"
 
