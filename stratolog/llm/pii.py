@@ -3,7 +3,7 @@
 Entities are the distinct values found by pattern.  A term (a word of four letters or more, lower case) co-occurs with an entity when it stands within five words of it.
 Over the whole corpus, P(e | t) = contexts of e that hold t / documents that hold t, and a term discloses log2(P(e | t) / P(e)) bits about e.
 Contexts that are equal word for word count once, so copies of a passage are no evidence.  A term with ``SUPPORT`` contexts, P(e | t) of at least ``SHARE``
-(both among the documents that hold t and among the contexts of all entities that do) and at least ``BITS`` bits is a finding wherever it stands: generalised in the clean text (its kind in its place), or removed when P(e | t) reaches ``REMOVE``.
+and at least ``BITS`` bits is a finding wherever it stands: generalised in the clean text (its kind in its place), or removed when P(e | t) reaches ``REMOVE``.
 
 Everything is built from DataFrame functions.  Sets of terms and documents that the rest is compared with are counted first: few rows
 are broadcast, more are joined by shuffle.
@@ -83,27 +83,28 @@ def _words(text: Column) -> Column:
 
 
 def contexts(found: DataFrame) -> DataFrame:
-    """entity, context (a hash of the words around one finding) and terms, one row per distinct context."""
-    each = found.where(F.size("places") > 0).select(F.explode("places").alias("p"))
+    """entity, context (a hash of the words around one finding), text (a hash) and terms, one row per distinct context and text."""
+    each = found.where(F.size("places") > 0).select(F.xxhash64("text").alias("text"), F.explode("places").alias("p"))
     # 64 characters may cut a word at the far end: that word is left out
     words = _words(F.when(F.length("p.before") == 64, F.regexp_replace("p.before", r"^\p{L}+", "")).otherwise(F.col("p.before")))
     left = F.when(F.size(words) > 5, F.slice(words, -5, 5)).otherwise(words)
     after = F.slice(_words(F.when(F.length("p.after") == 64, F.regexp_replace("p.after", r"\p{L}+$", "")).otherwise(F.col("p.after"))), 1, 5)
-    each = each.select(F.xxhash64("p.no", "p.value").alias("entity"), F.array_distinct(F.concat(left, after)).alias("terms"))
-    return each.select("entity", F.xxhash64("terms").alias("context"), "terms").dropDuplicates(["entity", "context"])
+    each = each.select("text", F.xxhash64("p.no", "p.value").alias("entity"), F.array_distinct(F.concat(left, after)).alias("terms"))
+    return each.select("entity", F.xxhash64("terms").alias("context"), "text", "terms").dropDuplicates(["entity", "context", "text"])
 
 
 def disclosing_terms(docs: DataFrame, found: DataFrame | None = None) -> DataFrame:
     """term, share (the largest P(e | t)) and bits of every term beyond the thresholds."""
     found = base_findings(docs) if found is None else found
     around = reliable(contexts(found))
-    pairs = around.select("entity", F.explode("terms").alias("term")).groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_te")).where(F.col("n_te") >= SUPPORT)
-    # a term that stands near many entities points to none of them: of all contexts that hold it, SHARE must be of this entity
-    anywhere = around.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_c"))
-    pairs = reliable(pairs.join(anywhere, "term").where(F.col("n_te") >= SHARE * F.col("n_c")).drop("n_c"))
+    near = around.select("entity", "context", "text", F.explode("terms").alias("term"))
+    pairs = near.groupBy("entity", "term").agg(F.count_distinct("context").alias("n_te")).where(F.col("n_te") >= SUPPORT)
+    # loses nothing: at least as many documents hold a term as there are distinct texts with it near any entity, however many entities stand in each
+    least = near.groupBy("term").agg(F.count_distinct("text").alias("n_least"))
+    pairs = reliable(pairs.join(least, "term").where(F.col("n_te") >= SHARE * F.col("n_least")).drop("n_least"))
     if pairs.isEmpty():
         return pairs.select("term", F.lit(0.0).alias("share"), F.lit(0.0).alias("bits"))
-    per_entity = around.groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"))
+    per_entity = around.groupBy("entity").agg(F.count_distinct("context").alias("n_e"))
     candidates = few(reliable(pairs.select("term").distinct()))
     words = docs.select(F.explode(F.array_distinct(_words(F.coalesce("text", F.lit(""))))).alias("term"))
     holding = words.join(candidates, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))

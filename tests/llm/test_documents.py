@@ -210,6 +210,16 @@ def test_disclosing_terms(spark):
     assert clean[50].clean_text == texts[50]
 
 
+def test_terms_beside_several_entities_of_one_person(spark):
+    texts = [f"word{chr(97 + k)} zorblax jane@doe.org +1 (499) 555-6503 or 10.0.255.1 thing{chr(97 + k)} matters" for k in range(3)]
+    texts += [f"nothing here about matters number{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(100)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    terms = {r.term: r for r in pii.disclosing_terms(frame).collect()}
+    assert set(terms) == {"zorblax", "jane"} and terms["zorblax"].share == 1.0
+    clean = pii.sanitise(frame).where("doc_id < 3").collect()
+    assert len(clean) == 3 and all("zorblax" not in r.clean_text for r in clean)
+
+
 # substrings
 
 
