@@ -1,7 +1,8 @@
 """Personal data: exact kinds by pattern, and terms that give a protected entity away.
 
 Entities are the distinct values found by pattern.  A term (a word of four letters or more, lower case) co-occurs with an entity when it stands within five words of it.
-Over the whole corpus, P(e | t) = contexts of e that hold t / documents that hold t, and a term discloses log2(P(e | t) / P(e)) bits about e.
+Over the whole corpus, P(e | t) = distinct texts with t near e / distinct texts that hold t, and a term discloses log2(P(e | t) / P(e)) bits about e.
+P(e) = texts that hold e / texts, over distinct texts or over all documents, whichever is less: copies of what discloses e do not hide it.
 Contexts that are equal word for word count once, so copies of a passage are no evidence.  A term with ``SUPPORT`` contexts, P(e | t) of at least ``SHARE``
 and at least ``BITS`` bits is a finding wherever it stands: generalised in the clean text (its kind in its place), or removed when P(e | t) reaches ``REMOVE``.
 
@@ -83,14 +84,15 @@ def _words(text: Column) -> Column:
 
 
 def contexts(found: DataFrame) -> DataFrame:
-    """entity, context (a hash of the words around one finding), text (a hash) and terms, one row per distinct context and text."""
-    each = found.where(F.size("places") > 0).select(F.xxhash64("text").alias("text"), F.explode("places").alias("p"))
+    """entity, context (a hash of the words around one finding), text (a hash), terms and copies (documents with this text), one row per finding of a distinct text."""
+    each = found.where(F.size("places") > 0).select(F.xxhash64("text").alias("text"), F.posexplode("places").alias("pos", "p"))
     # 64 characters may cut a word at the far end: that word is left out
     words = _words(F.when(F.length("p.before") == 64, F.regexp_replace("p.before", r"^\p{L}+", "")).otherwise(F.col("p.before")))
     left = F.when(F.size(words) > 5, F.slice(words, -5, 5)).otherwise(words)
     after = F.slice(_words(F.when(F.length("p.after") == 64, F.regexp_replace("p.after", r"\p{L}+$", "")).otherwise(F.col("p.after"))), 1, 5)
-    each = each.select("text", F.xxhash64("p.no", "p.value").alias("entity"), F.array_distinct(F.concat(left, after)).alias("terms"))
-    return each.select("entity", F.xxhash64("terms").alias("context"), "text", "terms").dropDuplicates(["entity", "context", "text"])
+    each = each.select("text", "pos", F.xxhash64("p.no", "p.value").alias("entity"), F.array_distinct(F.concat(left, after)).alias("terms"))
+    each = each.groupBy("text", "pos", "entity", "terms").agg(F.count(F.lit(1)).alias("copies"))
+    return each.select("entity", F.xxhash64("terms").alias("context"), "text", "terms", "copies")
 
 
 def disclosing_terms(docs: DataFrame, found: DataFrame | None = None) -> DataFrame:
@@ -98,20 +100,21 @@ def disclosing_terms(docs: DataFrame, found: DataFrame | None = None) -> DataFra
     found = base_findings(docs) if found is None else found
     around = reliable(contexts(found))
     near = around.select("entity", "context", "text", F.explode("terms").alias("term"))
-    pairs = near.groupBy("entity", "term").agg(F.count_distinct("context").alias("n_te")).where(F.col("n_te") >= SUPPORT)
-    # loses nothing: at least as many documents hold a term as there are distinct texts with it near any entity, however many entities stand in each
+    pairs = near.groupBy("entity", "term").agg(F.count_distinct("context").alias("n_c"), F.count_distinct("text").alias("n_te")).where(F.col("n_c") >= SUPPORT)
+    # loses nothing: a term is in at least as many distinct texts as have it near any entity, however many entities stand in each
     least = near.groupBy("term").agg(F.count_distinct("text").alias("n_least"))
-    pairs = reliable(pairs.join(least, "term").where(F.col("n_te") >= SHARE * F.col("n_least")).drop("n_least"))
+    pairs = reliable(pairs.join(least, "term").where(F.col("n_te") >= SHARE * F.col("n_least")).drop("n_c", "n_least"))
     if pairs.isEmpty():
         return pairs.select("term", F.lit(0.0).alias("share"), F.lit(0.0).alias("bits"))
-    per_entity = around.groupBy("entity").agg(F.count_distinct("context").alias("n_e"))
+    per_entity = around.groupBy("entity", "text").agg(F.max("copies").alias("copies")).groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"), F.sum("copies").alias("all_e"))
     candidates = few(reliable(pairs.select("term").distinct()))
-    words = docs.select(F.explode(F.array_distinct(_words(F.coalesce("text", F.lit(""))))).alias("term"))
-    holding = words.join(candidates, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
-    n = docs.count()
+    text = F.coalesce("text", F.lit(""))
+    words = docs.select(F.xxhash64(text).alias("text"), F.explode(F.array_distinct(_words(text))).alias("term"))
+    holding = words.join(candidates, "term", "left_semi").groupBy("term").agg(F.count_distinct("text").alias("n_t"))
+    n, every = docs.agg(F.count_distinct(F.xxhash64(text)), F.count(F.lit(1))).first()
     rows = pairs.join(holding, "term").join(per_entity, "entity")
     share = F.least(F.lit(1.0), F.col("n_te") / F.col("n_t"))
-    rows = rows.select("term", share.alias("share"), F.log2(share / (F.col("n_e") / F.lit(float(n)))).alias("bits"))
+    rows = rows.select("term", share.alias("share"), F.log2(share / F.least(F.col("n_e") / F.lit(float(n)), F.col("all_e") / F.lit(float(every)))).alias("bits"))
     return reliable(rows.where((F.col("share") >= SHARE) & (F.col("bits") >= BITS)).groupBy("term").agg(F.max("share").alias("share"), F.max("bits").alias("bits")))
 
 

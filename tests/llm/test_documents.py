@@ -220,6 +220,15 @@ def test_terms_beside_several_entities_of_one_person(spark):
     assert len(clean) == 3 and all("zorblax" not in r.clean_text for r in clean)
 
 
+@pytest.mark.parametrize("copies", [1, 3, 50])
+def test_copies_do_not_hide_terms(spark, copies):
+    texts = [f"word{chr(97 + k)} zorblax wrote to jane@doe.org about thing{chr(97 + k)}" for k in range(3)] * copies
+    texts += [f"nothing here wrote about number{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(100)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    terms = {r.term: r for r in pii.disclosing_terms(frame).collect()}
+    assert set(terms) == {"zorblax"} and terms["zorblax"].share == 1.0
+
+
 # substrings
 
 
