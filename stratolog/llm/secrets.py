@@ -5,7 +5,7 @@ transitions of character classes, how much of it dictionary words cover, the pat
 Spark ML on labelled findings (``labelled_findings`` makes ``LABELLED`` of them by rule; any table with the same columns can take its place), and then
 becomes one SQL expression, so scoring runs inside the scan without Python and without a row per candidate.
 
-Null and empty texts have no candidates.  Long texts are scanned whole; patterns do not recurse.  A null path has no telling name.  Rows are independent:
+Null and empty texts have no candidates.  Long texts are scanned whole and a value of any length is one candidate; patterns are possessive and do not recurse.  A null path has no telling name.  Rows are independent:
 repeated rows give equal rows, an empty table gives an empty result.  Of the input ``doc_id``, ``text`` and the path column are read; ``redact`` keeps all columns.
 """
 
@@ -21,7 +21,7 @@ from .spans import located, replaced
 #: Names that a secret is assigned to, and formats that issuers publish.
 ASSIGNED = r"(?i:passwords?|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credentials?)[\"']?[\x20]{0,2}[=:][\x20]{0,2}[\"']?"
 FORMATS = r"(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk_(?:live|test)_[A-Za-z0-9]{16,64}|xox[baprs]-[A-Za-z0-9-]{10,72}"
-CANDIDATE = rf"{ASSIGNED}[^\x09-\x0D\x20\"',;]{{8,200}}|(?<![A-Za-z0-9])(?:{FORMATS})(?![A-Za-z0-9])|(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{{32,200}}(?![A-Za-z0-9+/_-])"
+CANDIDATE = rf"{ASSIGNED}[^\x09-\x0D\x20\"',;]{{8,}}+|(?<![A-Za-z0-9])(?:{FORMATS})(?![A-Za-z0-9])|(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{{32,}}+"
 #: Words of placeholders and of ordinary identifiers, and words beside findings that are no secrets.
 DICTIONARY = (
     "example placeholder password changeme change secret sample dummy token test your insert replace default value string admin user name "

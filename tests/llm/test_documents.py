@@ -1,5 +1,6 @@
 """Every operator against a brute-force version over the same odd corpus, and on an empty table."""
 
+import base64
 import hashlib
 import re
 import zlib
@@ -156,6 +157,20 @@ def test_secrets(docs, rows):
     assert clean.where("text is null").count() == sum(t is None for _, t, *_ in rows)
 
 
+def test_secrets_of_any_length(spark):
+    def value(n):
+        digest = b"".join(hashlib.sha512(bytes([k % 256, k // 256])).digest() for k in range(n // 64 + 1))
+        return base64.b64encode(digest, b"-_").decode()[:n]
+
+    texts = [f"the {name}{value(n)} ends" for name in ("private_key = ", "") for n in (199, 200, 201, 600, 3000, 50_000)]
+    texts += ["a line " + "x" * 30_000, "-" * 500, "in " + "/usr/local/service/config" * 30]
+    frame = spark.createDataFrame([(i, t, "src1") for i, t in enumerate(texts)], "doc_id long, text string, source string")
+    got = {r.doc_id: r for r in secrets.scan(frame).collect()}
+    assert [got[i].clean_text for i in range(12)] == ["the private_key = [SECRET] ends"] * 6 + ["the [SECRET] ends"] * 6
+    assert all(got[i].n_candidates == 1 for i in range(15))
+    assert all(got[i].clean_text == texts[i] for i in range(12, 15))
+
+
 def test_forest_equals_spark_ml(spark):
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.functions import array_to_vector, vector_to_array
