@@ -7,7 +7,7 @@ import tempfile
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Fixed value: a word is a longest run of characters other than these blanks.
@@ -15,11 +15,15 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``, which all executors share; only a session without one gets a temporary folder."""
+    """The session's ``spark.checkpoint.dir``, which all executors share; only a local session without one gets a temporary folder."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if folder is None:
+        if not spark.sparkContext.master.startswith(("local[", "local,")) and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="stratolog-checkpoint-")
     if spark.sparkContext.getCheckpointDir() is None:
-        own = spark.conf.get("spark.checkpoint.dir", None)
-        spark.sparkContext.setCheckpointDir(own or tempfile.mkdtemp(prefix="stratolog-checkpoint-"))
-    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+        spark.sparkContext.setCheckpointDir(folder)
+    return folder
 
 
 def reliable(df: DataFrame) -> DataFrame:
@@ -41,9 +45,24 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def row_key(*cols: str):
-    """One 64-bit key per distinct (id, text): repeated rows share it, rows that only share an id do not."""
-    return F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in cols])
+def hashes(*cols: str | Column) -> tuple[Column, Column]:
+    """128 bits that tell different values apart, as two longs (``h1``, ``h2``); a null differs from every value."""
+    parts = [p for c in cols for p in (F.isnull(c), c)]
+    return F.xxhash64(*parts).alias("h1"), F.xxhash64(F.lit("h2"), *parts).alias("h2")
+
+
+def quoted(name: str) -> str:
+    return f"`{name.replace('`', '``')}`"
+
+
+def hashable(docs: DataFrame) -> list[str]:
+    """The columns of ``docs`` that a hash can be made of: all but those with a map inside."""
+    return [quoted(f.name) for f in docs.schema.fields if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
+
+
+def whole_row(docs: DataFrame, name: str = "row") -> Column:
+    """Every column of ``docs`` in one struct, out of the way of an operator's own columns."""
+    return F.struct(*[F.col(quoted(c)) for c in docs.columns]).alias(name)
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
