@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, utf8
+from .common import blocks, utf8, whole_row
 
 SLOTS = 8192
 #: Lead in loss per bit below which a prediction is ambiguous.
@@ -164,9 +164,9 @@ def _annotated(docs: DataFrame, carry: list[str], model: Model | None) -> DataFr
     return rows.mapInArrow(_predictor(model, carry), schema)
 
 
-def annotate(docs: DataFrame, carry: list[str], model: Model | None = None) -> DataFrame:
-    """The columns ``carry`` of every document (``text`` is read, and kept if named) with lang_pred, score and ambiguous."""
-    return _annotated(docs, carry, model or train(docs))
+def annotate(docs: DataFrame, model: Model | None = None) -> DataFrame:
+    """``row`` (every column of the document, which may have any names), lang_pred, score and ambiguous."""
+    return _annotated(docs.select(whole_row(docs), "text"), ["row"], model or train(docs))
 
 
 def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
