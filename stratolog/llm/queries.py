@@ -57,7 +57,7 @@ def op9_media_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = simhash.near_duplicates(documents(spark, sf_dir))
-    return rows.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return rows.select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
 
 
 QUERIES = {
