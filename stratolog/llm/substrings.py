@@ -5,14 +5,18 @@ anchors.  Consecutive windows with the same anchor form a segment, and each wind
 repeated window; those that occur again pass a bitmap (of bounded size; false positives only cost work) and send their segments on.  Equal segments
 are combined before they meet, with a count.  A shard holds all segments of its anchors.
 
+An anchor may have any number of distinct segments.  Those of an anchor with more than ``SPREAD`` are cut into their single windows, each a segment of its own
+that is anchored by the hash of the whole window, so that no task needs all of them.  Again, what occurs once under its anchor is not sent on, and the
+shards search them like all other segments: a hash only says where a window goes, never that it is repeated.
+
 Search.  A shard indexes its distinct segments once each (suffix array, wavelet matrix) and streams them against that index: backward search finds how far a
 stretch still occurs elsewhere, and from that the repeated windows, as a bit mask per segment.  Segments that occur twice are repeated as a whole.
-Anchors with more than ``HOT`` distinct segments do not go to one shard: their windows are counted by 128-bit hashes, spread over all tasks.
 
-Results go back by segment hash to (row, first word), and each document drops the words that a repeated window covers.
+Results go back by the segment's 128-bit hash to (row, first word), and each document drops the words that a repeated window covers.  The text of segments is
+written once, combined; the places of segments are found again from the documents and carry no text.
 
 Null and empty texts, and texts shorter than a window, lose nothing.  Long texts are searched whole.  Repeated rows are copies of each other.  An empty
-table gives an empty result.  Only ``doc_id`` and ``text`` are read.
+table gives an empty result.  Only ``doc_id`` and ``text`` are read.  Windows may have up to ``MOST_WINDOW`` words, as many as a mask has bits.
 """
 
 from __future__ import annotations
@@ -27,12 +31,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, few, reliable, row_key, shared_folder, utf8
+from .common import blocks, few, hashes, reliable, shared_folder, utf8
 from .fmindex import FMIndex
 
 WINDOW = 35
-#: Words of segments in a shard, about; distinct segments of an anchor from which its windows are counted by hash; bits of the bitmap at most, as a power of two.
-SHARD_WORDS, HOT, BITMAP = 400_000, 2000, 27
+#: Words of segments in a shard, at most about; distinct segments of an anchor from which its windows go separate ways; bits of the bitmap at most, as a power of two.
+SHARD_WORDS, SPREAD, BITMAP = 400_000, 256, 27
+MOST_WINDOW = 93
 
 _BLANK = np.zeros(256, bool)
 _BLANK[[32, *range(9, 14)]] = True
@@ -116,7 +121,7 @@ def _segments(window: int, k: int, bitmap, bits: int):
         again = np.frombuffer(bitmap.value, np.uint64)
         for batch in batches:
             data, offsets = utf8(batch.column("text"))
-            keys = batch.column("key").to_numpy()
+            keys = [batch.column(c) for c in ("doc_id", "h1", "h2")]
             for lo, hi in blocks(offsets, 1 << 20):
                 words = Words(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
                 row, first, last, anchor = words.segments(window, k)
@@ -127,8 +132,8 @@ def _segments(window: int, k: int, bitmap, bits: int):
                 row, first, last, anchor = row[on], first[on], last[on], anchor[on]
                 text, start, end = words.normal()
                 segment = [text[a:b] for a, b in zip(start[first], end[last + window - 1])]
-                own = [keys[lo + row], (first - words.row_start[row]).astype(np.int32), anchor]
-                yield pa.RecordBatch.from_arrays([*map(pa.array, own), pa.array(segment, pa.binary()).cast(pa.string())], ["key", "first", "anchor", "segment"])
+                own = [*(c.take(pa.array(lo + row)) for c in keys), pa.array((first - words.row_start[row]).astype(np.int32)), pa.array(anchor)]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(segment, pa.binary()).cast(pa.string())], ["doc_id", "h1", "h2", "first", "anchor", "segment"])
 
     return run
 
@@ -150,17 +155,22 @@ def _search(window: int):
         if len(once):
             mask[once] = FMIndex(text, 2 * window).repeated_windows(first[once], first[once] + windows[once] - 1, window)
         on = mask != 0
-        return pa.table({"h1": table.column("h1").filter(pa.array(on)), "h2": table.column("h2").filter(pa.array(on)), "mask": mask[on].view(np.int64)})
+        return pa.table({"s1": table.column("s1").filter(pa.array(on)), "s2": table.column("s2").filter(pa.array(on)), "mask": mask[on].view(np.int64)})
 
     return run
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, h1, h2 (together they tell rows of different id or text apart) and text."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), *hashes("doc_id", "text"), "text")
+
+
 def repeated(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """key (of rows with equal id and text) and ``found``: array of (first word, mask of the repeated windows from there on)."""
+    """h1, h2 (of rows with equal id and text) and ``found``: array of (first word, mask of the repeated windows from there on)."""
     spark = docs.sparkSession
     k = max(1, min(window // 3, window))
-    if window - k + 1 > 63:
-        raise ValueError("windows of at most 93 words")
+    if window > MOST_WINDOW:
+        raise ValueError(f"windows of at most {MOST_WINDOW} words")
     texts = docs.select("text").where("length(text) > 0")
     anchors = texts.mapInArrow(_anchors(window, k), "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1")
     anchors = reliable(anchors.select("anchor"))
@@ -171,33 +181,37 @@ def repeated(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     bitmap[by_word.column("word").to_numpy()] = by_word.column("bits").to_numpy().view(np.uint64)
     shared = spark.sparkContext.broadcast(bitmap.tobytes())
 
-    rows = docs.where("length(text) > 0").select(row_key("doc_id", "text").alias("key"), "text")
-    path = f"{shared_folder(spark)}/segments-{uuid.uuid4().hex}"
-    rows.mapInArrow(_segments(window, k, shared, bits), "key long, first int, anchor long, segment string").write.option("compression", "zstd").parquet(path)
-    segments = spark.read.parquet(path)
-    hashes = F.xxhash64("segment").alias("h1"), F.xxhash64(F.lit(window), "segment").alias("h2")
-    distinct = segments.groupBy("anchor", "segment").agg(F.count(F.lit(1)).alias("n"))
-    own = f"{shared_folder(spark)}/distinct-{uuid.uuid4().hex}"
-    distinct.select("anchor", "segment", "n", *hashes).write.option("compression", "zstd").parquet(own)
-    distinct = spark.read.parquet(own)
+    rows = _keyed(docs).where("length(text) > 0")
+    segments = rows.mapInArrow(_segments(window, k, shared, bits), "doc_id long, h1 long, h2 long, first int, anchor long, segment string")
+    own = lambda text: (F.xxhash64(text).alias("s1"), F.xxhash64(F.lit(window), text).alias("s2"))
+    path = f"{shared_folder(spark)}/distinct-{uuid.uuid4().hex}"
+    combined = segments.groupBy("anchor", "segment").agg(F.count(F.lit(1)).alias("n"))
+    combined.select("anchor", "segment", "n", *own("segment")).write.option("compression", "zstd").parquet(path)
+    distinct = spark.read.parquet(path)
     per_anchor = distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("segments"))
-    hot = few(reliable(per_anchor.where(F.col("segments") > HOT).select("anchor")))
-    n_words = distinct.agg(F.sum(F.length("segment") / 6.0)).first()[0] or 0
-    shards = max(2 * spark.sparkContext.defaultParallelism, int(n_words) // SHARD_WORDS + 1)
-    usual = distinct.join(hot, "anchor", "left_anti").withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards)))
-    masks = usual.select("shard", "segment", "n", "h1", "h2").groupBy("shard").applyInArrow(_search(window), "h1 long, h2 long, mask long")
+    busy = few(reliable(per_anchor.where(F.col("segments") > SPREAD).select("anchor")))
+    whole = distinct.join(busy, "anchor", "left_anti").select("anchor", "segment", "n", "s1", "s2")
 
-    # windows of hot anchors, by hash
+    # the windows of busy anchors
     words = F.split("segment", " ")
-    some = distinct.join(hot, "anchor", "left_semi").select("h1", "h2", "n", words.alias("w"))
-    some = some.select("h1", "h2", "n", "w", F.explode(F.sequence(F.lit(0), F.size("w") - window)).alias("i"))
-    stretch = F.slice("w", F.col("i") + 1, window)
-    some = some.select("h1", "h2", "n", "i", F.xxhash64(stretch).alias("a"), F.xxhash64(F.lit(1), stretch).alias("b"))
-    twice = some.groupBy("a", "b").agg(F.sum("n").alias("n")).where("n > 1").select("a", "b")
-    by_hash = some.join(twice, ["a", "b"], "left_semi").groupBy("h1", "h2").agg(F.bit_or(F.expr("shiftleft(1L, i)")).alias("mask"))
+    cut = distinct.join(busy, "anchor", "left_semi").select("s1", "s2", "n", words.alias("w"))
+    cut = cut.select("s1", "s2", "n", "w", F.explode(F.sequence(F.lit(0), F.size("w") - window)).alias("i"))
+    cut = cut.select(F.col("s1").alias("o1"), F.col("s2").alias("o2"), "i", "n", F.array_join(F.slice("w", F.col("i") + 1, window), " ").alias("segment"))
+    cut = cut.select("o1", "o2", "i", "n", "segment", *own("segment"))
+    again = reliable(cut.groupBy("s1").agg(F.sum("n").alias("n")).where("n > 1").select("s1"))
+    single = cut.join(few(again), "s1", "left_semi").groupBy("s1", "s2", "segment").agg(F.sum("n").alias("n")).select(F.col("s1").alias("anchor"), "segment", "n", "s1", "s2")
+
+    n_words = distinct.agg(F.sum(F.length("segment") / 6.0)).first()[0] or 0
+    shards = max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")), int(n_words) // SHARD_WORDS + 1)
+    usual = whole.unionByName(single).withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards)))
+    masks = usual.select("shard", "segment", "n", "s1", "s2").groupBy("shard").applyInArrow(_search(window), "s1 long, s2 long, mask long")
+    if not busy.isEmpty():
+        masks = reliable(masks)
+        back = cut.select("s1", "s2", "o1", "o2", "i").join(masks, ["s1", "s2"]).groupBy(F.col("o1").alias("s1"), F.col("o2").alias("s2")).agg(F.bit_or(F.expr("shiftleft(1L, i)")).alias("mask"))
+        masks = masks.unionByName(back)
 
-    places = segments.select("key", "first", *hashes).join(masks.unionByName(by_hash), ["h1", "h2"]).select("key", "first", "mask").distinct()
-    return places.groupBy("key").agg(F.collect_list(F.struct("first", "mask")).alias("found"))
+    places = segments.select("h1", "h2", "first", *own("segment")).join(masks, ["s1", "s2"]).select("h1", "h2", "first", "mask").distinct()
+    return places.groupBy("h1", "h2").agg(F.collect_list(F.struct("first", "mask")).alias("found"))
 
 
 def _kept(window: int, texts: bool):
@@ -236,7 +250,7 @@ def _kept(window: int, texts: bool):
 def remove_repeated(docs: DataFrame, window: int = WINDOW, texts: bool = True) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 and, if wanted, kept_text (kept words joined by one space) of every document."""
     found = repeated(docs, window)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", row_key("doc_id", "text").alias("key")).join(found, "key", "left")
+    rows = _keyed(docs).join(found, ["h1", "h2"], "left")
     rows = rows.select("doc_id", "text", F.coalesce("found", F.expr("cast(array() as array<struct<first:int,mask:bigint>>)")).alias("found"))
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + (", kept_text string" if texts else "")
     return rows.mapInArrow(_kept(window, texts), schema)
