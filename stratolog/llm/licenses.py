@@ -10,8 +10,8 @@ extra columns need no rule: every input row gives one output row, and only ``doc
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
-from functools import cache
+from collections.abc import Iterator, Sequence
+from functools import lru_cache
 
 import ahocorasick
 import numpy as np
@@ -24,7 +24,7 @@ from .common import blocks, utf8
 #: Phrases whose words must stand consecutively, and their labels.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 
-#: Short notices, lower case, and their labels.
+#: Short notices and their labels, unless a table of others is given.
 NOTICES = [
     ("released under the mit license", "mit"),
     ("permission is hereby granted, free of charge", "mit"),
@@ -50,6 +50,11 @@ _SEP = rb"[^0-9a-z\x80-\xff]+"
 _EDGE = rb"(?<![0-9a-z\x80-\xff])%s(?![0-9a-z\x80-\xff])"
 
 
+def lowered(text: str) -> str:
+    """A-Z in lower case, nothing else changed."""
+    return text.translate({c: c + 32 for c in range(65, 91)})
+
+
 def allowed_edits(notice: str) -> int:
     """One edit for ten characters, at most four."""
     return min(4, len(notice) // 10)
@@ -61,35 +66,40 @@ def seeds(notice: str, edits: int) -> list[tuple[int, str]]:
     return [(a, notice[a:b]) for a, b in zip(cuts, cuts[1:])]
 
 
-@cache
-def _machine():
+@lru_cache(4)
+def _machine(given: tuple[tuple[str, str], ...] = tuple(NOTICES)):
     automaton, notices = ahocorasick.Automaton(), []
     by_seed: dict[str, list[tuple[int, int]]] = {}
-    for n, (text, label) in enumerate(NOTICES):
+    for n, (text, label) in enumerate(given):
+        text = lowered(text)
+        if not text:
+            raise ValueError("a notice needs a text")
         edits = allowed_edits(text)
         notices.append((text, label, edits, regex.compile(rf"(?b)(?:{regex.escape(text)}){{e<={edits}}}")))
         for offset, seed in seeds(text, edits):
             by_seed.setdefault(seed, []).append((n, offset))
     for seed, uses in by_seed.items():
         automaton.add_word(seed, (len(seed), uses))
+    if not by_seed:
+        automaton.add_word("\0" * 64, (64, []))  # an empty automaton cannot search
     automaton.make_automaton()
     phrases = [(re.compile(_EDGE % _SEP.join(map(re.escape, p.encode().split()))), label) for p, label in PHRASES.items()]
     return automaton, notices, phrases
 
 
-def fuzzy_notices(lowered: str) -> list[tuple[str, int, int, int]]:
+def fuzzy_notices(text: str, given: tuple[tuple[str, str], ...] = tuple(NOTICES)) -> list[tuple[str, int, int, int]]:
     """(label, start, end, edits) of each notice found within its number of edits; overlapping places of one label keep the best."""
-    automaton, notices, _ = _machine()
+    automaton, notices, _ = _machine(given)
     places: dict[int, set[int]] = {}
-    for end, (length, uses) in automaton.iter(lowered):
+    for end, (length, uses) in automaton.iter(text):
         for n, offset in uses:
             places.setdefault(n, set()).add(end + 1 - length - offset)
     found = []
     for n, starts in places.items():
-        text, label, edits, pattern = notices[n]
+        notice, label, edits, pattern = notices[n]
         for at in sorted(starts):
             lo = max(0, at - edits)
-            if m := pattern.search(lowered[lo : at + len(text) + edits]):
+            if m := pattern.search(text[lo : at + len(notice) + edits]):
                 found.append((sum(m.fuzzy_counts), lo + m.start(), lo + m.end(), label))
     kept: list[tuple[str, int, int, int]] = []
     for edits, start, end, label in sorted(found):
@@ -98,14 +108,13 @@ def fuzzy_notices(lowered: str) -> list[tuple[str, int, int, int]]:
     return sorted(kept, key=lambda k: (k[1], k[2], k[0]))
 
 
-def _row(lowered: bytes, starts: np.ndarray) -> tuple:
+def _row(own: bytes, starts: np.ndarray, given: tuple) -> tuple:
     """starts: where the words of this text start, in bytes."""
-    text = lowered.decode("utf-8", "replace")
-    spans = fuzzy_notices(text)
+    spans = fuzzy_notices(own.decode("utf-8", "replace"), given)
     base, labels = [], set()
-    for pattern, label in _machine()[2]:
+    for pattern, label in _machine(given)[2]:
         at = 0
-        while m := pattern.search(lowered, at):
+        while m := pattern.search(own, at):
             base.append(int(np.searchsorted(starts, m.start())))
             labels.add(label)
             at = m.start() + 1
@@ -115,8 +124,8 @@ def _row(lowered: bytes, starts: np.ndarray) -> tuple:
     return len(base), min(base, default=None), max(base, default=None), *ordered, 1.0 if base else best, [dict(zip(("label", "start", "end", "edits"), s)) for s in spans]
 
 
-def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    automaton = _machine()[0]
+def _scan(batches: Iterator[pa.RecordBatch], given: tuple) -> Iterator[pa.RecordBatch]:
+    automaton = _machine(given)[0]
     rare = re.compile(rb"reserved|general|(?<![0-9a-z\x80-\xff])cc(?![0-9a-z\x80-\xff])")
     for batch in batches:
         data, offsets = utf8(batch.column("text"))
@@ -131,11 +140,11 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             starts = np.flatnonzero(first)
             cut = np.searchsorted(starts, ends)
             n_words[lo:hi] = np.diff(cut)
-            lowered = part.tobytes().lower()
+            small = part.tobytes().lower()
             for k in range(hi - lo):
-                own = lowered[ends[k] : ends[k + 1]]
+                own = small[ends[k] : ends[k + 1]]
                 if rare.search(own) or next(automaton.iter(own.decode("utf-8", "replace")), None):
-                    rows.append(_row(own, starts[cut[k] : cut[k + 1]] - ends[k]))
+                    rows.append(_row(own, starts[cut[k] : cut[k + 1]] - ends[k], given))
                 else:
                     rows.append((0, None, None, "", "", 0.0, []))
         columns = list(zip(*rows)) if rows else [[]] * 7
@@ -145,6 +154,12 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n_words), *made], names)
 
 
-def scan_licenses(docs: DataFrame) -> DataFrame:
-    """One row per document: base phrases by words, labels with the fuzzy notices, and their spans in code points."""
-    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(_scan, SCHEMA)
+def scan_licenses(docs: DataFrame, notices: DataFrame | Sequence[tuple[str, str]] = NOTICES) -> DataFrame:
+    """One row per document: base phrases by words, labels with the fuzzy notices, and their spans in code points.
+
+    ``notices``: pairs of text and label, or a table (text, label); every task holds all of them, so it is a table of notices, not of documents.
+    """
+    if isinstance(notices, DataFrame):
+        notices = sorted((r["text"], r["label"]) for r in notices.select("text", "label").where("length(text) > 0 and label is not null").distinct().collect())
+    given = tuple(map(tuple, notices))
+    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(lambda batches: _scan(batches, given), SCHEMA)
