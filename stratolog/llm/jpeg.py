@@ -5,22 +5,29 @@ coefficients end at once.  Any baseline decoder shows the byte as the block's fl
 blocks is a restart interval; numpy encodes and decodes all intervals of a block of documents side by side, one Huffman symbol at a time.  A payload
 beyond ``MOST_ROWS`` rows continues in a further picture appended to the first.
 
-The reader is a general one for single-component baseline streams with restart intervals: it takes tables, dimensions and intervals from the markers.
+The reader takes any baseline stream: one or several components with sampling factors, interleaved or not, with or without restart intervals, several tables
+in a marker, 8- or 16-bit quantisers.  Streams whose rows of blocks are restart intervals, as those written here, are decoded side by side in numpy; others
+one symbol after the other.  Of each picture only the DC coefficients of the first component (luminance) are kept, one sample for each of its blocks.
+``thumbnails`` reads a column of pictures; what is null, no JPEG, not baseline or cut short has nulls in all columns made here.
 
 Null and empty texts are 192 spaces.  Long texts are stored whole.  Equal texts give equal values; rows are independent, an empty table gives an empty
-result, and only ``doc_id`` and ``text`` are read.
+result, and of other columns only those named are read.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .common import blocks, utf8
 
@@ -105,32 +112,93 @@ def encode(payloads: list[bytes]) -> list[bytes]:
     return streams
 
 
-def _markers(stream: bytes, at: int) -> tuple[dict, int]:
-    """Tables and dimensions of the picture at ``at``, and where its scan begins."""
+_SCAN_END = re.compile(rb"\xff+[^\x00\xff\xd0-\xd7]")
+_RESTART = re.compile(rb"\xff+[\xd0-\xd7]")
+
+
+@dataclass(frozen=True)
+class Component:
+    number: int
+    across: int  # sampling factors
+    down: int
+    quantiser: int
+
+
+@dataclass
+class Picture:
+    """Dimensions and tables of a picture, and its scans: (components with their DC and AC tables, restart interval, bytes)."""
+
+    width: int = 0
+    height: int = 0
+    components: tuple[Component, ...] = ()
+    scans: list[tuple] = field(default_factory=list)
+
+    def blocks(self, part: Component) -> tuple[int, int]:
+        """Rows and columns of blocks that hold samples of the component."""
+        most_across, most_down = max(c.across for c in self.components), max(c.down for c in self.components)
+        samples = -(-self.height * part.down // most_down), -(-self.width * part.across // most_across)
+        return -(-samples[0] // 8), -(-samples[1] // 8)
+
+
+def parse(stream: bytes, at: int = 0) -> tuple[Picture, int]:
+    """The picture that begins at ``at``, and where it ends.  Raises ValueError for what is not a whole baseline picture."""
     if stream[at : at + 2] != b"\xff\xd8":
         raise ValueError("no SOI marker")
     at += 2
-    found: dict = {"huffman": {}}
+    found, quantisers, huffman, interval = Picture(), {}, {}, 0
     while True:
-        kind, length = struct.unpack(">HH", stream[at : at + 4])
+        while stream[at : at + 2] == b"\xff\xff":  # fill bytes
+            at += 1
+        kind = stream[at + 1] if stream[at : at + 1] == b"\xff" and at + 1 < len(stream) else -1
+        if kind == 0xD9:
+            if not found.scans:
+                raise ValueError("no scan")
+            return found, at + 2
+        length = int.from_bytes(stream[at + 2 : at + 4], "big")
         body = stream[at + 4 : at + 2 + length]
-        if kind == 0xFFC0:
-            precision, found["height"], found["width"], parts = struct.unpack(">BHHB", body[:6])
-            if precision != 8 or parts != 1:
-                raise ValueError("only 8-bit pictures of one component are read")
-        elif 0xFFC1 <= kind <= 0xFFCF and kind not in (0xFFC4, 0xFFC8, 0xFFCC):
+        if kind < 0xC0 or length < 2 or len(body) != length - 2:
+            raise ValueError("no marker, or one that is cut short")
+        if kind in (0xC0, 0xC1):
+            if len(body) < 6 or len(body) < 6 + 3 * body[5] or body[0] != 8 or not body[5]:
+                raise ValueError("not a picture of 8-bit samples")
+            found.height, found.width = int.from_bytes(body[1:3], "big"), int.from_bytes(body[3:5], "big")
+            found.components = tuple(Component(body[k], body[k + 1] >> 4, body[k + 1] & 15, body[k + 2]) for k in range(6, 6 + 3 * body[5], 3))
+            if not found.height or not found.width or not all(1 <= f <= 4 for c in found.components for f in (c.across, c.down)):
+                raise ValueError("dimensions are missing")
+        elif 0xC2 <= kind <= 0xCF and kind not in (0xC4, 0xC8, 0xCC):
             raise ValueError("not a baseline picture")
-        elif kind == 0xFFDB:
-            found["quantiser"] = body[1]
-        elif kind == 0xFFC4:
-            found["huffman"][body[0]] = body[1:]
-        elif kind == 0xFFDD:
-            found["interval"] = struct.unpack(">H", body)[0]
+        elif kind == 0xDB:
+            while body:  # several tables, of one or two bytes a value; only the DC value is needed
+                wide = 1 + (body[0] >> 4 > 0)
+                quantisers[body[0] & 15] = int.from_bytes(body[1 : 1 + wide], "big")
+                body = body[1 + 64 * wide :]
+        elif kind == 0xC4:
+            while body:
+                size = 17 + sum(body[1:17])
+                if len(body) < size:
+                    raise ValueError("a table is cut short")
+                huffman[body[0]] = body[1:size]
+                body = body[size:]
+        elif kind == 0xDD:
+            interval = int.from_bytes(body[:2], "big")
         at += 2 + length
-        if kind == 0xFFDA:
-            return found, at
-
-
+        if kind == 0xDA:
+            by_number = {c.number: c for c in found.components}
+            parts = []
+            for k in range(1, 1 + 2 * body[0], 2):
+                part, tables = by_number.get(body[k]), body[k + 1]
+                dc, ac = huffman.get(tables >> 4), huffman.get(16 | tables & 15)
+                if part is None or dc is None or ac is None or part.quantiser not in quantisers:
+                    raise ValueError("a scan names what is not there")
+                parts.append((part, dc, ac, quantisers[part.quantiser]))
+            end = _SCAN_END.search(stream, at)
+            if end is None:
+                raise ValueError("a scan has no end")
+            found.scans.append((tuple(parts), interval, stream[at : end.start()]))
+            at = end.start()
+
+
+@lru_cache(64)
 def _lookup(dht: bytes) -> np.ndarray:
     """For each 16 bits that may follow: code length << 8 | symbol (0 where no code begins so)."""
     table, code, at = np.zeros(65536, np.int64), 0, 16
@@ -142,28 +210,110 @@ def _lookup(dht: bytes) -> np.ndarray:
     return table
 
 
+def _dc_values(data: bytes, layout: list[tuple[int, list, list]], units: int) -> list[list[int]]:
+    """Per component the DC coefficients of ``units`` units of blocks; layout: (component, DC table, AC table) of each block of a unit."""
+    n_bits = 8 * len(data)
+    data += bytes(8)
+    at, last = 0, [0] * (1 + max(c for c, _, _ in layout))
+    out: list[list[int]] = [[] for _ in last]
+    for _ in range(units):
+        for part, dc, ac in layout:
+            hit = dc[int.from_bytes(data[at >> 3 : (at >> 3) + 3], "big") >> 8 - (at & 7) & 0xFFFF]
+            at += hit >> 8
+            size = hit & 255
+            if not hit or size > 16:
+                raise ValueError("no DC code")
+            if size:
+                value = int.from_bytes(data[at >> 3 : (at >> 3) + 3], "big") >> 24 - size - (at & 7) & (1 << size) - 1
+                last[part] += value if value >> size - 1 else value - (1 << size) + 1
+                at += size
+            out[part].append(last[part])
+            k = 1
+            while k < 64:
+                hit = ac[int.from_bytes(data[at >> 3 : (at >> 3) + 3], "big") >> 8 - (at & 7) & 0xFFFF]
+                if not hit:
+                    raise ValueError("no AC code")
+                at += (hit >> 8) + (hit & 15)
+                if not hit & 255:
+                    break
+                k += (hit >> 4 & 15) + 1
+            if at > n_bits:
+                raise ValueError("a scan is cut short")
+    return out
+
+
+def _luminance(picture: Picture) -> np.ndarray:
+    """One sample for each block of the picture's first component."""
+    wanted = picture.components[0]
+    for parts, interval, data in picture.scans:
+        mine = [k for k, p in enumerate(parts) if p[0] == wanted]
+        if not mine:
+            continue
+        if len(parts) == 1:  # the unit is a block
+            (rows, columns), down, across = picture.blocks(wanted), 1, 1
+            layout = [(0, _lookup(parts[0][1]).tolist(), _lookup(parts[0][2]).tolist())]
+        else:
+            most_down, most_across = max(c.down for c in picture.components), max(c.across for c in picture.components)
+            rows, columns = -(-picture.height // (8 * most_down)), -(-picture.width // (8 * most_across))
+            down, across = wanted.down, wanted.across
+            layout = []
+            for k, (part, dc, ac, _) in enumerate(parts):
+                layout += [(k, _lookup(dc).tolist(), _lookup(ac).tolist())] * (part.across * part.down)
+        left, values = rows * columns, []
+        for piece in _RESTART.split(data):
+            units = min(left, interval or left)
+            if units:
+                values += _dc_values(piece.replace(b"\xff\x00", b"\xff"), layout, units)[mine[0]]
+            left -= units
+        if left:
+            raise ValueError("intervals are missing")
+        grid = np.array(values, np.int64).reshape(rows, columns, down, across).transpose(0, 2, 1, 3).reshape(rows * down, columns * across)
+        tall, wide = picture.blocks(wanted)
+        return _samples(grid[:tall, :wide], parts[mine[0]][3])
+    raise ValueError("the first component has no scan")
+
+
+def _samples(dc: np.ndarray, quantiser: int) -> np.ndarray:
+    return np.clip((dc * quantiser + 4) // 8 + 128, 0, 255).astype(np.uint8)
+
+
+def _pictures(stream: bytes) -> list[Picture]:
+    found, at = [], 0
+    while at < len(stream):
+        picture, at = parse(stream, at)
+        found.append(picture)
+    if not found:
+        raise ValueError("no picture")
+    return found
+
+
+def _side_by_side(pictures: list[Picture]) -> bool:
+    """Whether all pictures have one component, the same tables and width, and a restart interval for each row of blocks."""
+    first = pictures[0]
+    (parts, interval, _), *_ = first.scans
+    return all(
+        len(p.components) == 1 and len(p.scans) == 1 and p.width == first.width and p.scans[0][0] == parts and p.scans[0][1] == interval == -(-p.width // 8) for p in pictures
+    )
+
+
 def decode(streams: list[bytes]) -> list[np.ndarray]:
-    """The DC-only luminance of each stream: one sample per block, in rows of blocks (pictures of one stream below each other)."""
-    pictures, scans, home = [], [], []
-    for k, stream in enumerate(streams):
-        at = 0
-        while at < len(stream):
-            found, at = _markers(stream, at)
-            end = stream.index(b"\xff\xd9", at) + 2  # 0xFF in a scan is stuffed, so this is EOI
-            pictures.append(found)
-            scans.append(stream[at:end])
-            home.append(k)
-            at = end
-    same = {(p["huffman"][0], p["huffman"][16], p["width"], p["quantiser"], p.get("interval", 0)) for p in pictures}
-    if len(same) > 1:
-        return [decode([s])[0] for s in streams]
-    dc, ac, width, quantiser, interval = next(iter(same))
-    across = -(-width // 8)
-    if interval != across:
-        raise ValueError("restart intervals of one row of blocks are read")
-    raw = np.frombuffer(b"".join(scans), np.uint8)
+    """The DC-only luminance of each stream: one sample per block, in rows of blocks (pictures of one stream, of equal width, below each other)."""
+    each = [_pictures(s) for s in streams]
+    pictures = [p for some in each for p in some]
+    if not pictures or not _side_by_side(pictures):
+        return [np.concatenate([_luminance(p) for p in some]) for some in each]
+    luminance = _rows(pictures)
+    return np.split(luminance, np.cumsum([sum(p.blocks(p.components[0])[0] for p in some) for some in each])[:-1])
+
+
+def _rows(pictures: list[Picture]) -> np.ndarray:
+    """The samples of pictures whose rows are restart intervals, below each other; all rows are decoded at once, one symbol at a time."""
+    (_, dc, ac, quantiser), across = pictures[0].scans[0][0][0], -(-pictures[0].width // 8)
+    raw = np.frombuffer(b"".join(p.scans[0][2] + b"\xff\xd9" for p in pictures), np.uint8)
     follows = np.flatnonzero(raw[:-1] == 255) + 1
     ends = follows[raw[follows] != 0] - 1  # where a row's marker begins
+    if len(ends) != sum(p.blocks(p.components[0])[0] for p in pictures):
+        raise ValueError("intervals are missing")
     drop = np.zeros(len(raw), bool)
     drop[follows] = True
     drop[ends] = True
@@ -176,7 +326,7 @@ def decode(streams: list[bytes]) -> list[np.ndarray]:
     dc, ac = _lookup(dc), _lookup(ac)
 
     def peek(at: np.ndarray, n: np.ndarray | int) -> np.ndarray:
-        return (((window[at >> 3].astype(np.int64) << (at & 7)) & 0xFFFFFFFF) >> (32 - n)).astype(np.int64)
+        return (((window[np.minimum(at >> 3, len(window) - 1)].astype(np.int64) << (at & 7)) & 0xFFFFFFFF) >> (32 - n)).astype(np.int64)
 
     diffs = np.zeros((len(position), across), np.int64)
     for j in range(across):
@@ -197,21 +347,45 @@ def decode(streams: list[bytes]) -> list[np.ndarray]:
             position[open_] += (hit >> 8) + (symbol & 15)
             done[open_] += (symbol >> 4) + 1
             open_ = open_[(symbol != 0) & (done[open_] < 64)]
-    luminance = np.clip(np.cumsum(diffs, 1) * quantiser // 8 + 128, 0, 255).astype(np.uint8)
-    tall = np.array([-(-p["height"] // 8) for p in pictures])
-    rows = np.bincount(home, tall, len(streams)).astype(np.int64)
-    return np.split(luminance, np.cumsum(rows)[:-1])
+    return _samples(np.cumsum(diffs, 1), quantiser)
 
 
 def thumbnail_hash(luminance: np.ndarray) -> str:
     """64 bits: which cells of an 8 x 8 thumbnail are lighter than its mean."""
-    n = len(luminance)
-    columns = luminance.reshape(n, 8, -1).mean(2)
-    cuts = np.arange(9) * n // 8
-    cells = np.stack([columns[a : max(a + 1, b)].mean(0) for a, b in zip(cuts, cuts[1:])])
+    down, across = (np.arange(9) * n // 8 for n in luminance.shape)
+    strips = np.stack([luminance[a : max(a + 1, b)].mean(0) for a, b in zip(down, down[1:])])
+    cells = np.stack([strips[:, a : max(a + 1, b)].mean(1) for a, b in zip(across, across[1:])], 1)
     return np.packbits(cells > cells.mean()).tobytes().hex()
 
 
+def _thumbnail(stream: bytes | None) -> tuple:
+    """(width, height, thumbnail's width, height and bytes, hash) of a stream, or nulls."""
+    if stream is None:
+        return (None,) * 6
+    try:
+        pictures = _pictures(stream)
+        luminance = decode([stream])[0]
+    except (ValueError, IndexError):  # what the reader says of streams that it cannot read
+        return (None,) * 6
+    return pictures[0].width, sum(p.height for p in pictures), luminance.shape[1], luminance.shape[0], luminance.tobytes(), thumbnail_hash(luminance)
+
+
+def thumbnails(rows: DataFrame, column: str = "media", carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """``carry``, and of the picture in ``column``: width, height, thumb_width, thumb_height, thumbnail (a byte per sample) and thumbnail_hash."""
+    schema = rows.select(*carry).schema
+    made = (("width", "integer"), ("height", "integer"), ("thumb_width", "integer"), ("thumb_height", "integer"), ("thumbnail", "binary"), ("thumbnail_hash", "string"))
+    for name, kind in made:
+        schema = schema.add(name, kind)
+    kinds = [pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.string()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = list(zip(*(_thumbnail(x.as_py()) for x in batch.column("media")))) or [[]] * 6
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(carry))), *(pa.array(c, t) for c, t in zip(found, kinds))], schema.names)
+
+    return rows.select(*carry, F.col(column).cast("binary").alias("media")).mapInArrow(run, schema)
+
+
 def padded(text: bytes) -> bytes:
     return text + b" " * (WIDTH - len(text) if not text else -len(text) % WIDTH)
 
