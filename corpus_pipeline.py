@@ -1,4 +1,8 @@
-"""A training-corpus pipeline of five stages; each works on all that the one before kept."""
+"""A training-corpus pipeline of five stages; each works on all that the one before kept.
+
+Null and empty texts leave with the first stage; null ids and sources stay and are treated like any other value; rows that repeat are near-duplicates of each
+other, so one of them stays.  An empty table gives an empty result.  Extra columns pass through the first four stages unchanged, whatever their names.
+"""
 
 from __future__ import annotations
 
@@ -8,28 +12,28 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratolog.llm import language, mixing, pieces, secrets, simhash
-from stratolog.llm.common import documents, shared_folder
+from stratolog.llm.common import documents, quoted, shared_folder
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops texts without a language.  The prediction takes the place of ``lang``."""
-    rows = language.annotate(docs, docs.columns)
-    return rows.where("lang_pred <> 'und'").withColumn("lang", F.col("lang_pred")).select(*docs.columns)
+    """Drops texts without a language (null texts and texts without a letter).  The prediction takes the place of ``lang``."""
+    rows = language.annotate(docs).where("lang_pred <> 'und'")
+    return rows.select(*[F.col("lang_pred" if c == "lang" else f"row.{quoted(c)}").alias(c) for c in docs.columns])
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near-duplicates, the one of the least id."""
-    return simhash.one_of_each(docs)
+    """Keeps one document of each group of near-duplicates: shingles of five words, similarity of 0.8 or more; the one of the least id (null ids last)."""
+    return simhash.one_of_each(docs, shingle=5, similarity=0.8)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Redacts secrets; every document stays."""
+    """Redacts secrets; every document stays, and ``n_chars`` is that of the redacted text."""
     rows = secrets.redact(docs)
     return rows.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else rows
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeats each document as often as the mix takes it."""
+    """Repeats each document as often as the mix takes it; texts without a word are not taken."""
     return mixing.expand(docs)
 
 
