@@ -5,8 +5,8 @@ anchors.  Consecutive windows with the same anchor form a segment, and each wind
 repeated window; those that occur again pass a bitmap (of bounded size; false positives only cost work) and send their segments on.  Equal segments
 are combined before they meet, with a count.  A shard holds all segments of its anchors.
 
-An anchor may have any number of distinct segments.  Those of an anchor with more than ``SPREAD`` are cut into their single windows, each a segment of its own
-that is anchored by the hash of the whole window, so that no task needs all of them.  Again, what occurs once under its anchor is not sent on, and the
+An anchor may have any number of distinct segments.  Where those of one anchor hold more than ``ANCHOR_WORDS``, they are cut into their single windows, each a
+segment of its own that is anchored by the hash of the whole window, so that no task needs all of them.  Again, what occurs once under its anchor is not sent on, and the
 shards search them like all other segments: a hash only says where a window goes, never that it is repeated.
 
 Search.  A shard indexes its distinct segments once each (suffix array, wavelet matrix) and streams them against that index: backward search finds how far a
@@ -35,8 +35,8 @@ from .common import blocks, few, hashes, reliable, shared_folder, utf8
 from .fmindex import FMIndex
 
 WINDOW = 35
-#: Words of segments in a shard, at most about; distinct segments of an anchor from which its windows go separate ways; bits of the bitmap at most, as a power of two.
-SHARD_WORDS, SPREAD, BITMAP = 400_000, 256, 27
+#: Words of segments in a shard, at most about; those of one anchor beyond which its windows go separate ways; bits of the bitmap at most, as a power of two.
+SHARD_WORDS, ANCHOR_WORDS, BITMAP = 400_000, 400_000, 27
 MOST_WINDOW = 93
 
 _BLANK = np.zeros(256, bool)
@@ -188,8 +188,9 @@ def repeated(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     combined = segments.groupBy("anchor", "segment").agg(F.count(F.lit(1)).alias("n"))
     combined.select("anchor", "segment", "n", *own("segment")).write.option("compression", "zstd").parquet(path)
     distinct = spark.read.parquet(path)
-    per_anchor = distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("segments"))
-    busy = few(reliable(per_anchor.where(F.col("segments") > SPREAD).select("anchor")))
+    n_blanks = F.length("segment") - F.length(F.translate("segment", " ", ""))
+    per_anchor = distinct.groupBy("anchor").agg(F.sum(n_blanks + 1).alias("words"))
+    busy = few(reliable(per_anchor.where(F.col("words") > ANCHOR_WORDS).select("anchor")))
     whole = distinct.join(busy, "anchor", "left_anti").select("anchor", "segment", "n", "s1", "s2")
 
     # the windows of busy anchors

@@ -356,9 +356,9 @@ def brute_removed(rows, window):
         yield i, len(w), sum(gone), hashlib.sha256(b" ".join(x for x, g in zip(w, gone) if not g)).hexdigest()
 
 
-@pytest.mark.parametrize("window, spread", [(35, 256), (35, 1), (4, 3), (1, 256), (93, 1)])
-def test_substrings(docs, rows, window, spread, monkeypatch):
-    monkeypatch.setattr(substrings, "SPREAD", spread)
+@pytest.mark.parametrize("window, most", [(35, 400_000), (35, 40), (4, 20), (1, 400_000), (93, 100)])
+def test_substrings(docs, rows, window, most, monkeypatch):
+    monkeypatch.setattr(substrings, "ANCHOR_WORDS", most)
     got = substrings.remove_repeated(docs, window, texts=False).collect()
     same(got, list(brute_removed(rows, window)))
 
