@@ -8,10 +8,11 @@ from dataclasses import dataclass
 from pathlib import Path
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .log import Log
 from .operators import flows, scores, sublog
-from .plans import fragments, layers, miner, net, render
+from .plans import fragments, layers, miner, net, render, traces
 
 
 @dataclass(frozen=True)
@@ -31,27 +32,14 @@ def matrices(frame: DataFrame) -> tuple[dict, dict]:
     return tuple({(r["source_type"], r["target_type"]): r[kind] for r in rows} for kind in ("push", "pull"))
 
 
-def discover_nets(relations: DataFrame, most_variants: int = 20_000) -> dict[int, net.OCNet]:
-    """A net per layer.  Types with more variants than ``most_variants`` are mined from their directly-follows graph instead of their variants."""
+def discover_nets(relations: DataFrame) -> dict[int, net.OCNet]:
+    """A net per layer, mined from the distinct traces of its types, where they are."""
     variants = flows.object_variants(relations)
-    counts = {(r["layer"], r["otype"]): r["n"] for r in variants.groupBy("layer", "otype").count().withColumnRenamed("count", "n").collect()}
-    many = [k for k, n in counts.items() if n > most_variants]
-    logs: dict[tuple[int, str], dict] = defaultdict(dict)
-    if few := [k for k, n in counts.items() if n <= most_variants]:
-        keys = relations.sparkSession.createDataFrame(few, "layer int, otype string")
-        for r in variants.join(keys, ["layer", "otype"], "left_semi").collect():
-            logs[r["layer"], r["otype"]][tuple(r["trace"])] = r["objects"]
-    trees = {k: miner.mine(log) for k, log in logs.items()}
-    if many:
-        edges, ends = defaultdict(set), defaultdict(list)
-        for r in flows.directly_follows(relations).collect():
-            edges[r["layer"], r["otype"]].add((r["activity"], r["follower"]))
-        for r in flows.start_end_activities(relations).collect():
-            ends[r["layer"], r["otype"]].append(r)
-        for k in many:
-            starts, lasts = ({r["activity"] for r in ends[k] if r[c]} for c in ("starts", "ends"))
-            nodes = {a for e in edges[k] for a in e} | starts | lasts
-            trees[k] = miner.mine_graph(miner.Graph(frozenset(nodes), frozenset(edges[k]), frozenset(starts), frozenset(lasts)))
+    names = {(r["layer"], r["otype"]): f"{k}" for k, r in enumerate(sorted(relations.select("layer", "otype").distinct().collect()))}
+    rows = [(layer, otype, name) for (layer, otype), name in names.items()]
+    known = F.broadcast(relations.sparkSession.createDataFrame(rows, "layer int, otype string, log string"))  # types in layers
+    found_trees = traces.mine_all(variants.join(known, ["layer", "otype"]).select("log", "trace"))
+    trees = {k: found_trees[name] for k, name in names.items()}
     variable = defaultdict(set)
     for r in flows.arc_multiplicity(relations).where("variable").collect():
         variable[r["layer"]].add((r["otype"], r["activity"]))

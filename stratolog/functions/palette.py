@@ -9,8 +9,9 @@ from collections.abc import Iterable
 GOLDEN = 0.618033988749895
 
 
-def to_hex(rgb: Iterable[float]) -> str:
-    return "#" + "".join(f"{round(255 * x):02x}" for x in rgb)
+def _code(hue: float, light: float, saturation: float) -> str:
+    red, green, blue = colorsys.hls_to_rgb(hue, light, saturation)
+    return "#" + bytes(int(256 * min(x, 0.999)) for x in (red, green, blue)).hex()
 
 
 def distinct_colors(n: int, lightness: float, saturation: float, offset: float = 0.0) -> list[str]:
@@ -21,7 +22,7 @@ def distinct_colors(n: int, lightness: float, saturation: float, offset: float =
         while True:
             hue = (offset + k * GOLDEN + turn / 97) % 1.0
             light = lightness + (0.04 * (turn % 5) if turn else 0.0)
-            color = to_hex(colorsys.hls_to_rgb(hue, min(light, 0.9), saturation))
+            color = _code(hue, min(light, 0.9), saturation)
             if color not in colors:
                 break
             turn += 1
@@ -30,7 +31,7 @@ def distinct_colors(n: int, lightness: float, saturation: float, offset: float =
 
 
 def fragment_colors(n: int) -> list[str]:
-    return distinct_colors(n, 0.58, 0.6)
+    return distinct_colors(n, 0.47, 0.72)
 
 
 def type_colors(types: Iterable[str]) -> dict[str, str]:

@@ -13,13 +13,15 @@ from .operators import relations
 class Log:
     """events(eid, activity, ts), objects(oid, otype), e2o(eid, oid), o2o(src, dst).
 
-    Shared relations are planned once per log and kept as plans; ``keep`` materialises them, ``release`` drops them again.
+    Shared relations are planned once per log and kept as plans; ``keep`` materialises them, ``release`` drops them again.  A log without
+    explicit edges plans no step for them.
     """
 
     events: DataFrame
     objects: DataFrame
     e2o: DataFrame
     o2o: DataFrame
+    has_edges: bool = True
     _made: dict = field(default_factory=dict, repr=False)
 
     @classmethod
@@ -28,9 +30,10 @@ class Log:
         for name, df, columns in (("events", events, ("eid", "activity", "ts")), ("objects", objects, ("oid", "otype")), ("e2o", e2o, ("eid", "oid"))):
             if missing := set(columns) - set(df.columns):
                 raise ValueError(f"{name} lacks {sorted(missing)}")
+        has_edges = o2o is not None
         if o2o is None:
             o2o = e2o.sparkSession.createDataFrame([], "src string, dst string")
-        return cls(events.select("eid", "activity", "ts"), objects.select("oid", "otype"), e2o.select("eid", "oid").distinct(), o2o.select("src", "dst").distinct())
+        return cls(events.select("eid", "activity", "ts"), objects.select("oid", "otype"), e2o.select("eid", "oid").distinct(), o2o.select("src", "dst").distinct(), has_edges)
 
     def _once(self, name: str, make) -> DataFrame:
         if name not in self._made:
@@ -58,7 +61,17 @@ class Log:
     @property
     def related(self) -> DataFrame:
         """src, stype, dst, dtype: objects of different types that share an event or an explicit edge, in both directions."""
-        return self._once("related", lambda: relations.related(self.meetings, self.o2o, self.participants))
+
+        def make() -> DataFrame:
+            met = self.meetings if "meetings" in self._made else relations.pairs(self.events, self.typed)
+            return relations.related(met, relations.explicit_edges(self.o2o, self.participants) if self.has_edges else None)
+
+        return self._once("related", make)
+
+    @property
+    def degrees(self) -> DataFrame:
+        """src, stype, dtype, degree: how many objects of a type each object is related to."""
+        return self._once("degrees", lambda: relations.degrees(self.related))
 
     @property
     def object_types(self) -> list[str]:
@@ -66,7 +79,7 @@ class Log:
 
     def keep(self) -> Log:
         """Persist what several scorers read."""
-        for name in ("typed", "participants", "lifespan", "meetings", "related"):
+        for name in ("typed", "participants", "lifespan", "meetings", "related", "degrees"):
             getattr(self, name).persist()
         return self
 

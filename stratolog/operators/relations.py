@@ -1,7 +1,7 @@
 """Joins and sets over events and objects.
 
 The self-join on the event id is the only step whose size is not linear in the log (the square of an event's objects).  It is an ordinary equi-join, so
-AQE splits hot events, and it is aggregated right away; related pairs and divergence both start from that aggregate.
+AQE splits hot events, and it is aggregated right away.
 """
 
 from __future__ import annotations
@@ -29,21 +29,21 @@ def lifespan(events: DataFrame, typed_e2o: DataFrame) -> DataFrame:
     return typed_e2o.join(timed, "eid").groupBy("oid").agg(F.min("ts").alias("t_min"), F.max("ts").alias("t_max"))
 
 
-def _pairs(events: DataFrame, typed_e2o: DataFrame) -> DataFrame:
-    """One row for each event and ordered pair of its objects, an object with itself included."""
+def pairs(events: DataFrame, typed_e2o: DataFrame) -> DataFrame:
+    """activity, src, stype, dst, dtype: one row for each event and ordered pair of its objects, an object with itself included."""
     a = typed_e2o.join(events.select("eid", "activity"), "eid").select("eid", "activity", F.col("oid").alias("src"), F.col("otype").alias("stype"))
     b = typed_e2o.select("eid", F.col("oid").alias("dst"), F.col("otype").alias("dtype"))
-    return a.join(b, "eid")
+    return a.join(b, "eid").drop("eid")
 
 
 def cooccurrence(events: DataFrame, typed_e2o: DataFrame) -> DataFrame:
     """The reflexive, symmetric closure: src, stype, dst, dtype of all objects that share an event."""
-    return _pairs(events, typed_e2o).select("src", "stype", "dst", "dtype").distinct()
+    return pairs(events, typed_e2o).select("src", "stype", "dst", "dtype").distinct()
 
 
 def meetings(events: DataFrame, typed_e2o: DataFrame) -> DataFrame:
-    pairs = _pairs(events, typed_e2o).where("stype <> dtype")
-    return pairs.groupBy("activity", "src", "stype", "dst", "dtype").agg(F.count(F.lit(1)).alias("k"))
+    met = pairs(events, typed_e2o).where("stype <> dtype")
+    return met.groupBy("activity", "src", "stype", "dst", "dtype").agg(F.count(F.lit(1)).alias("k"))
 
 
 def explicit_edges(o2o: DataFrame, members: DataFrame) -> DataFrame:
@@ -55,10 +55,23 @@ def explicit_edges(o2o: DataFrame, members: DataFrame) -> DataFrame:
     return there.unionByName(back).distinct()
 
 
-def related(met: DataFrame, o2o: DataFrame, members: DataFrame) -> DataFrame:
-    edges = explicit_edges(o2o, members).where("stype <> dtype")
-    return met.select("src", "stype", "dst", "dtype").unionByName(edges).distinct()
+def related(met: DataFrame, edges: DataFrame | None = None) -> DataFrame:
+    """Pairs of objects of different types that meet (``met``: src, stype, dst, dtype, repeats allowed) or have an explicit edge."""
+    found = met.where("stype <> dtype").select("src", "stype", "dst", "dtype")
+    if edges is not None:
+        found = found.unionByName(edges.where("stype <> dtype"))
+    return found.distinct()
 
 
-def related_counts(pairs: DataFrame) -> DataFrame:
-    return pairs.groupBy("stype", "dtype").agg(F.count(F.lit(1)).alias("pairs"), F.countDistinct("src").alias("sources"), F.countDistinct("dst").alias("targets"))
+def degrees(pairs_of_objects: DataFrame) -> DataFrame:
+    return pairs_of_objects.groupBy("src", "stype", "dtype").agg(F.count(F.lit(1)).alias("degree"))
+
+
+def related_counts(degrees: DataFrame) -> DataFrame:
+    """Pairs, sources and targets of each ordered pair of types, from one row per object and partner type; pairs go both ways, so targets are the sources the other way round."""
+    one_way = degrees.groupBy("stype", "dtype").agg(F.sum("degree").alias("pairs"), F.count(F.lit(1)).alias("sources"))
+    none = F.lit(0).cast("long")
+    own = F.struct("stype", "dtype", "pairs", "sources", none.alias("targets"))
+    turned = F.struct(F.col("dtype").alias("stype"), F.col("stype").alias("dtype"), none.alias("pairs"), none.alias("sources"), F.col("sources").alias("targets"))
+    both = one_way.select(F.explode(F.array(own, turned)).alias("x")).select("x.*")
+    return both.groupBy("stype", "dtype").agg(*[F.sum(c).alias(c) for c in ("pairs", "sources", "targets")])

@@ -114,14 +114,9 @@ class TimeScorer(CountingScorer):
 # cardinality
 
 
-def degrees(log: Log) -> DataFrame:
-    """How many objects of a type each object is related to."""
-    return log.related.groupBy("src", "stype", "dtype").agg(F.count(F.lit(1)).alias("degree"))
-
-
 def bilateral_signatures(log: Log) -> DataFrame:
     """Per object and partner type the partners' reverse degrees, as sorted 'degree x count' runs: the same multiset as a sorted list, and short for hubs."""
-    back = degrees(log).select(F.col("src").alias("dst"), F.col("stype").alias("dtype"), F.col("dtype").alias("stype"), F.col("degree").alias("reverse"))
+    back = log.degrees.select(F.col("src").alias("dst"), F.col("stype").alias("dtype"), F.col("dtype").alias("stype"), F.col("degree").alias("reverse"))
     runs = log.related.join(back, ["dst", "dtype", "stype"]).groupBy("src", "stype", "dtype", "reverse").agg(F.count(F.lit(1)).alias("n"))
     ordered = F.array_sort(F.collect_list(F.struct("reverse", "n")))
     text = F.array_join(F.transform(ordered, lambda x: F.concat_ws("x", x.getField("reverse"), x.getField("n"))), ",")
@@ -182,8 +177,8 @@ def divergence_ratio(log: Log) -> DataFrame:
 
 def interaction_counts(log: Log) -> DataFrame:
     """How many sources have a partner of the target type at all."""
-    rows = log.related.select("src", F.col("stype").alias("source_type"), F.col("dtype").alias("target_type"))
-    return rows.groupBy(*PAIR).agg(F.countDistinct("src").alias("interacting"))
+    rows = log.degrees.groupBy(F.col("stype").alias("source_type"), F.col("dtype").alias("target_type"))
+    return rows.agg(F.count(F.lit(1)).alias("interacting"))
 
 
 class DivergenceScorer(CountingScorer):

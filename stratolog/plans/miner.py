@@ -1,8 +1,7 @@
 """Net discovery: process trees by recursive cuts of the directly-follows graph (inductive mining), turned into accepting nets.
 
-Few variants are mined exactly: each cut splits the traces themselves, so every trace replays.  Many variants are mined from the graph alone: cuts split
-the graph, which keeps all traces only as far as the graph shows what may follow what.  Where no cut applies, traces are cut into rounds of a loop, and
-else a loop over all activities accepts anything.
+Each cut splits the traces themselves, so every trace replays.  Where no cut applies, traces are cut into rounds of a loop, and else a loop over all
+activities accepts anything.  ``mine`` works on traces in memory; ``traces.mine_all`` takes the same decisions over distributed traces.
 """
 
 from __future__ import annotations
@@ -31,13 +30,6 @@ class Graph:
         edges = {(a, b) for t in log for a, b in zip(t, t[1:])}
         return cls(frozenset(a for t in log for a in t), frozenset(edges), frozenset(t[0] for t in log if t), frozenset(t[-1] for t in log if t))
 
-    def within(self, part: frozenset[str]) -> Graph:
-        """The part's own graph: it starts where it is entered and ends where it is left."""
-        edges = frozenset(e for e in self.edges if set(e) <= part)
-        starts = {b for a, b in self.edges if b in part and a not in part} | (self.starts & part)
-        ends = {a for a, b in self.edges if a in part and b not in part} | (self.ends & part)
-        return Graph(part, edges, frozenset(starts), frozenset(ends))
-
 
 def components(nodes: Iterable[str], links: Iterable[tuple[str, str]]) -> list[frozenset[str]]:
     """Connected components, in the order of their least members."""
@@ -140,7 +132,7 @@ def _split(log: Log, kind: str, parts: list[frozenset[str]]) -> list[Log]:
     return [dict(x) for x in logs]
 
 
-_CUTS = (("xor", _choice), ("seq", _sequence), ("par", _parallel), ("loop", _loop))
+CUTS = (("xor", _choice), ("seq", _sequence), ("par", _parallel), ("loop", _loop))
 
 
 def _repeats(log: Log, graph: Graph) -> Log | None:
@@ -153,11 +145,11 @@ def _repeats(log: Log, graph: Graph) -> Log | None:
     return dict(rounds) if sum(rounds.values()) > sum(log.values()) else None
 
 
-def _flower(activities: Iterable[str]) -> Tree:
+def flower(activities: Iterable[str]) -> Tree:
     return ("loop", (SILENT, *(("leaf", a) for a in sorted(activities))))
 
 
-def _joined(kind: str, children: list[Tree]) -> Tree:
+def joined(kind: str, children: list[Tree]) -> Tree:
     if kind == "loop" and len(children) > 2:
         children = [children[0], ("xor", tuple(children[1:]))]
     return (kind, tuple(children))
@@ -172,31 +164,12 @@ def mine(log: Log) -> Tree:
     if len(graph.nodes) == 1:
         leaf = ("leaf", next(iter(graph.nodes)))
         return leaf if all(len(t) == 1 for t in log) else ("loop", (leaf, SILENT))
-    for kind, cut in _CUTS:
+    for kind, cut in CUTS:
         if parts := cut(graph):
-            return _joined(kind, [mine(x) for x in _split(log, kind, parts)])
+            return joined(kind, [mine(x) for x in _split(log, kind, parts)])
     if rounds := _repeats(log, graph):
         return ("loop", (mine(rounds), SILENT))
-    return _flower(graph.nodes)
-
-
-def mine_graph(graph: Graph) -> Tree:
-    """A process tree from the directly-follows graph alone."""
-    if len(graph.nodes) == 1:
-        leaf = ("leaf", next(iter(graph.nodes)))
-        return ("loop", (leaf, SILENT)) if graph.edges else leaf
-    for kind, cut in _CUTS:
-        if parts := cut(graph):
-            children = []
-            for k, part in enumerate(parts):
-                child = mine_graph(graph.within(part))
-                if kind == "seq":
-                    before, after = set().union(*parts[:k]), set().union(*parts[k + 1 :])
-                    passed = any(a in before and b in after for a, b in graph.edges) or (graph.starts & after) or (graph.ends & before)
-                    child = ("xor", (SILENT, child)) if passed else child
-                children.append(child)
-            return _joined(kind, children)
-    return _flower(graph.nodes)
+    return flower(graph.nodes)
 
 
 def to_net(tree: Tree) -> Net:
@@ -269,7 +242,3 @@ def replays(net: Net, trace: tuple[str, ...], most: int = 100_000) -> bool:
                     seen.add(new)
                     stack.append(new)
     return False
-
-
-def variable_arcs(rows: Iterable[Mapping]) -> frozenset[tuple[str, str]]:
-    return frozenset((r["otype"], r["activity"]) for r in rows if r["variable"])

@@ -22,9 +22,22 @@ Query = Callable[[SparkSession, str], DataFrame]
 _solutions: dict[tuple, dict[str, int]] = {}
 
 
+def _snapshot(spark: SparkSession, sf_dir: str) -> tuple:
+    """Paths, sizes and times of the files that a log is derived from: new data under an old path is another snapshot."""
+    paths = [f"{sf_dir}/{t}.parquet" for t in ("orders", "lineitem", "customer", "part", "supplier", "nation")]
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths).select("path", "length", F.col("modificationTime").cast("string"))
+    return tuple(sorted(map(tuple, files.collect())))
+
+
+def forget() -> None:
+    """Solve anew, as in a new application."""
+    _solutions.clear()
+
+
 def _solution(log: Log, name: str, sf_dir: str) -> dict[str, int]:
-    """Layers of a log, kept per application: as many entries as the log has types."""
-    key = (log.events.sparkSession.sparkContext.applicationId, name, sf_dir)
+    """Layers of a log, kept per application and snapshot of its files: as many entries as the log has types."""
+    spark = log.events.sparkSession
+    key = (spark.sparkContext.applicationId, name, _snapshot(spark, sf_dir))
     if key not in _solutions:
         push, pull = matrices(_matrix(log))
         _solutions[key] = layers.solve(sorted({a for a, _ in push}), push, pull)
@@ -69,8 +82,11 @@ def _fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _matrix(log: Log) -> DataFrame:
-    """Several scorers read the same relations, so those are kept."""
-    return scores.score_matrix(log.keep())
+    """Several scorers read the same relations, so those are kept while the matrix (types squared) is made, and dropped again."""
+    rows = scores.score_matrix(log.keep())
+    found = log.events.sparkSession.createDataFrame(rows.collect(), rows.schema)
+    log.release()
+    return found
 
 
 def _small_log(make: Callable[[SparkSession, str], Log]) -> Query:
@@ -87,12 +103,12 @@ QUERIES: dict[str, Query] = {
     "lifespan_null_times": _of_log(_lifespan, null_times=True),
     "cooccurrence": _of_log(lambda log: relations.cooccurrence(log.events, log.typed)),
     "explicit_edges": _of_log(lambda log: relations.explicit_edges(log.o2o, log.participants), explicit_edges=True),
-    "related_counts": _of_log(lambda log: relations.related_counts(log.related)),
-    "related_counts_explicit": _of_log(lambda log: relations.related_counts(log.related), explicit_edges=True),
+    "related_counts": _of_log(lambda log: relations.related_counts(log.degrees)),
+    "related_counts_explicit": _of_log(lambda log: relations.related_counts(log.degrees), explicit_edges=True),
     "time_counters": _of_log(scores.time_counters),
     "time_counters_null_times": _of_log(scores.time_counters, null_times=True),
     "time_scores": _of_log(lambda log: scores.TimeScorer().scores(log)),
-    "degrees": _of_log(scores.degrees),
+    "degrees": _of_log(lambda log: log.degrees),
     "bilateral_signatures": _of_log(scores.bilateral_signatures),
     "dominant_signature": _of_log(scores.dominant_signature),
     "cardinality_scores": _of_log(lambda log: scores.CardinalityScorer().scores(log)),

@@ -13,6 +13,7 @@ from stratolog.functions.palette import fragment_colors, type_colors
 from stratolog.plans import fragments, miner, render
 from stratolog.plans.fragments import BudgetExceeded, Fragment, detect
 from stratolog.plans.net import Net, OCNet, merge
+from stratolog.plans.traces import mine_all
 
 
 def net(*chains, activities, silent=()):
@@ -198,10 +199,19 @@ def test_known_behaviour(log, yes, no):
     assert not any(miner.replays(mined, tuple(t)) for t in no)
 
 
-@pytest.mark.parametrize("log", [["abcd"], ["abd", "acd"], ["abcd", "acbd"], ["abc", "acb", "bac", "bca", "cab", "cba"], ["ab", "acbab", "abcab"], ["ad", "abd"], ["aa", "a"]])
-def test_graph_mining(log):
-    mined = miner.to_net(miner.mine_graph(miner.Graph.of({tuple(t): 1 for t in log})))
-    assert all(miner.replays(mined, tuple(t)) for t in log)
+def test_distributed_mining_equals_mining_in_memory(spark):
+    rng = random.Random(11)
+    logs = [["abcd"], ["abd", "acd"], ["abcd", "acbd"], ["abc", "acb", "bac", "bca", "cab", "cba"], ["ab", "acbab", "abcab"], ["ad", "abd"], ["aa", "a"], ["", "a", "bb"], [""], ["ab", "abab", "ababab"], ["bca", "a", "acdbca"]]
+    for _ in range(60):
+        letters = "abcdefg"[: rng.randint(1, 7)]
+        logs.append(["".join(rng.choice(letters) for _ in range(rng.randint(0, 8))) for _ in range(rng.randint(1, 6))])
+    rows = [(f"log{k}", list(t)) for k, log in enumerate(logs) for t in log]
+    found = mine_all(spark.createDataFrame(rows, "log string, trace array<string>").repartition(3))
+    assert found == {f"log{k}": miner.mine({tuple(t): 1 for t in log}) for k, log in enumerate(logs)}
+
+
+def test_distributed_mining_of_nothing(spark):
+    assert mine_all(spark.createDataFrame([], "log string, trace array<string>")) == {}
 
 
 # rendering
