@@ -263,7 +263,8 @@ def one_of_each(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, lane
     chosen = reliable(grouped.groupBy("root").agg(first).select("x.h1", "x.h2"))
     repeated = rows.groupBy("h1", "h2").count().where("count > 1").select("h1", "h2")
     again = few(reliable(chosen.join(repeated, ["h1", "h2"], "left_semi")))
-    kept = docs.select(whole_row(docs), *key).join(few(chosen), ["h1", "h2"], "left_semi")
+    # as many rows as the corpus has components: never broadcast, however few they are here
+    kept = docs.select(whole_row(docs), *key).join(chosen, ["h1", "h2"], "left_semi")
     single = kept.join(again, ["h1", "h2"], "left_anti").select("row")
     equal = docs.select(whole_row(docs), F.xxhash64(*hashable(docs)).alias("h"), *key).join(again, ["h1", "h2"], "left_semi")
     equal = equal.groupBy("h1", "h2").agg(F.min_by("row", "h").alias("row")).select("row")
