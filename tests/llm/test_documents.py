@@ -441,6 +441,49 @@ def test_jpeg_reads_over_ac_coefficients():
     assert jpeg.decode([made])[0].tobytes() == b"a" * 192
 
 
+def colour_stream(samples, restart=0):
+    """A picture of 16 x 16 units of 4:2:0: four luminance blocks, then Cb and Cr; two units side by side, quantisers of one and of two bytes in one marker."""
+    bits, last, pieces = "", [0, 0, 0], []
+    for n, unit in enumerate(samples):
+        if restart and n and n % restart == 0:
+            pieces.append(bits)
+            bits, last = "", [0, 0, 0]
+        for part, value in zip((0, 0, 0, 0, 1, 2), unit):
+            diff, last[part] = value - last[part], value
+            size = abs(diff).bit_length()
+            code, length = jpeg._CODES[size]
+            bits += f"{code:0{length}b}" + (f"{diff if diff > 0 else diff + (1 << size) - 1:0{size}b}" if size else "") + "0"
+    pieces.append(bits)
+    scan = b""
+    for k, piece in enumerate(pieces):
+        piece += "1" * (-len(piece) % 8)
+        scan += (bytes([0xFF, 0xD0 + (k - 1) % 8]) if k else b"") + int(piece, 2).to_bytes(len(piece) // 8, "big").replace(b"\xff", b"\xff\x00")
+    dqt = b"\xff\xdb" + (2 + 65 + 129).to_bytes(2, "big") + b"\x00" + bytes([8] * 64) + b"\x11" + b"\x00\x10" * 64
+    sof = b"\xff\xc0\x00\x11\x08" + (16).to_bytes(2, "big") + (16 * len(samples)).to_bytes(2, "big") + b"\x03" + b"\x01\x22\x00" + b"\x02\x11\x01" + b"\x03\x11\x01"
+    dht = jpeg._dht(0, jpeg.DC_LENGTHS) + jpeg._dht(1, {0: 1})
+    dri = b"\xff\xdd\x00\x04" + restart.to_bytes(2, "big") if restart else b""
+    sos = b"\xff\xda\x00\x0c\x03\x01\x00\x02\x00\x03\x00\x00\x3f\x00"
+    return b"\xff\xd8" + dqt + sof + dht + dri + sos + scan + b"\xff\xd9"
+
+
+@pytest.mark.parametrize("restart", [0, 1, 2])
+def test_jpeg_of_several_components(restart):
+    samples = [(-100, -3, 0, 90, 5, 7), (100, 20, -128, 127, -60, 3), (1, 2, 3, 4, 5, 6)]
+    (found,) = jpeg.decode([colour_stream(samples, restart)])
+    expected = [[x + 128 for unit in samples for x in unit[at : at + 2]] for at in (0, 2)]
+    assert found.tolist() == expected
+
+
+def test_thumbnails_of_what_cannot_be_read(spark):
+    good = colour_stream([(1, 2, 3, 4, 5, 6)])
+    rows = [(1, good), (2, None), (3, b""), (4, b"no picture"), (5, good[:-9]), (6, good.replace(b"\xff\xc0", b"\xff\xc2")), (7, jpeg.encode([b"a" * 192])[0])]
+    frame = spark.createDataFrame([(i, bytearray(x) if x is not None else None) for i, x in rows], "doc_id long, media binary")
+    got = {r.doc_id: r for r in jpeg.thumbnails(frame).collect()}
+    assert {i for i in got if got[i].width is not None} == {1, 7}
+    assert (got[1].width, got[1].height, bytes(got[1].thumbnail)) == (16, 16, bytes([129, 130, 131, 132])) and bytes(got[7].thumbnail) == b"a" * 192
+    assert jpeg.thumbnails(frame.where("false")).count() == 0
+
+
 # near-duplicates
 
 
