@@ -14,7 +14,7 @@ class Log:
     """events(eid, activity, ts), objects(oid, otype), e2o(eid, oid), o2o(src, dst).
 
     Shared relations are planned once per log and kept as plans; ``keep`` materialises them, ``release`` drops them again.  A log without
-    explicit edges plans no step for them.
+    explicit edges plans no step for them.  With ``declared_types`` the types of objects without events count as well: their scores are zero.
     """
 
     events: DataFrame
@@ -22,10 +22,11 @@ class Log:
     e2o: DataFrame
     o2o: DataFrame
     has_edges: bool = True
+    declared_types: bool = False
     _made: dict = field(default_factory=dict, repr=False)
 
     @classmethod
-    def from_tables(cls, events: DataFrame, objects: DataFrame, e2o: DataFrame, o2o: DataFrame | None = None) -> Log:
+    def from_tables(cls, events: DataFrame, objects: DataFrame, e2o: DataFrame, o2o: DataFrame | None = None, declared_types: bool = False) -> Log:
         """Check the columns and put everything into the logical schema; relations get set semantics."""
         for name, df, columns in (("events", events, ("eid", "activity", "ts")), ("objects", objects, ("oid", "otype")), ("e2o", e2o, ("eid", "oid"))):
             if missing := set(columns) - set(df.columns):
@@ -33,7 +34,7 @@ class Log:
         has_edges = o2o is not None
         if o2o is None:
             o2o = e2o.sparkSession.createDataFrame([], "src string, dst string")
-        return cls(events.select("eid", "activity", "ts"), objects.select("oid", "otype"), e2o.select("eid", "oid").distinct(), o2o.select("src", "dst").distinct(), has_edges)
+        return cls(events.select("eid", "activity", "ts"), objects.select("oid", "otype"), e2o.select("eid", "oid").distinct(), o2o.select("src", "dst").distinct(), has_edges, declared_types)
 
     def _once(self, name: str, make) -> DataFrame:
         if name not in self._made:
@@ -75,7 +76,7 @@ class Log:
 
     @property
     def object_types(self) -> list[str]:
-        return sorted(r[0] for r in self.participants.select("otype").distinct().collect())
+        return sorted(r[0] for r in (self.objects if self.declared_types else self.participants).select("otype").distinct().collect())
 
     def keep(self) -> Log:
         """Persist what several scorers read."""

@@ -31,8 +31,10 @@ class Scorer(Protocol):
 
 
 def type_pairs(log: Log) -> DataFrame:
-    """All ordered pairs of participating types with their populations (types squared: a handful of rows)."""
+    """All ordered pairs of types with their populations of participants (types squared: a handful of rows); types without any only on demand."""
     population = type_population(log.participants)
+    if log.declared_types:
+        population = log.objects.select("otype").distinct().join(F.broadcast(population), "otype", "left").fillna(0, ["population"])
     one = population.select(F.col("otype").alias("source_type"), F.col("population").alias("n"))
     two = population.select(F.col("otype").alias("target_type"), F.col("population").alias("n_rev"))
     return one.crossJoin(two)

@@ -42,6 +42,13 @@ def objective(layers: Mapping[str, int], push: Scores, pull: Scores, alpha: floa
     return sum(cost(layers[i] - layers[j]) for i, j, cost in _terms(types, push, pull, alpha, beta, margin_scale))
 
 
+def report(layers: Mapping[str, int], push: Scores, pull: Scores, alpha: float = 1.0, beta: float = 1.0, margin_scale: float = 0.0) -> str:
+    """A solution in words: what it costs, and the layer of each type.  The cut is exact, so every solution is optimal."""
+    cost = objective(layers, push, pull, alpha, beta, margin_scale) / (SCALE * SCALE if margin_scale else SCALE)
+    width = max(map(len, layers), default=0)
+    return "\n".join(["status: optimal", f"objective: {cost:.9g}", *(f"{t.ljust(width)}  {layers[t]}" for t in sorted(layers))])
+
+
 class _Network:
     """Maximum flow by shortest augmenting paths in layered graphs (Dinic)."""
 
@@ -96,9 +103,15 @@ class _Network:
         return far
 
 
-def solve(types: Sequence[str], push: Scores, pull: Scores, alpha: float = 1.0, beta: float = 1.0, margin_scale: float = 0.0) -> dict[str, int]:
-    """The least optimal layer of each type."""
-    types = sorted(types)
+def solve(types: Sequence[str], push: Scores, pull: Scores, alpha: float = 1.0, beta: float = 1.0, margin_scale: float = 0.0, verbose: bool = False) -> dict[str, int]:
+    """The least optimal layer of each type; ``verbose`` prints the report."""
+    found = _least_cut(sorted(types), push, pull, alpha, beta, margin_scale)
+    if verbose:
+        print(report(found, push, pull, alpha, beta, margin_scale))
+    return found
+
+
+def _least_cut(types: list[str], push: Scores, pull: Scores, alpha: float, beta: float, margin_scale: float) -> dict[str, int]:
     k = len(types)
     if k < 2:
         return dict.fromkeys(types, 1)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections import defaultdict
 from collections.abc import Iterable, Mapping
 from dataclasses import dataclass, field
+from itertools import pairwise
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,6 +29,14 @@ class Net:
                 raise ValueError(f"no arc between a place and a transition: {a} -> {b}")
 
 
+def from_chains(*chains: str, activities: Iterable[str], silent: Iterable[str] = ()) -> Net:
+    """A net written as chains ``a>b>c`` of names: those in ``activities`` are transitions of that label, those in ``silent`` silent ones, the rest places."""
+    arcs = {arc for chain in chains for arc in pairwise(chain.split(">"))}
+    names = {name for arc in arcs for name in arc}
+    transitions = {x: x for x in sorted(names & {*activities})} | dict.fromkeys(sorted(names & {*silent}))
+    return Net(tuple(sorted(names - set(transitions))), transitions, tuple(sorted(arcs)))
+
+
 @dataclass(frozen=True)
 class OCNet:
     """Nets by object type; ``variable`` holds (type, activity) whose arcs carry several objects, ``diagnostics`` replay counts by type and node."""
@@ -104,6 +113,11 @@ def net_arcs(spark: SparkSession, models: Iterable[tuple[int, OCNet]]) -> DataFr
     return spark.createDataFrame(rows, "layer int, otype string, source string, target string, source_kind string, label string, variable boolean")
 
 
+def node_name(key: Key) -> str:
+    """A transition's or place's name: the label, or the type and the name within it."""
+    return key[1] if key[0] == "activity" else f"{key[1]}/{key[2]}"
+
+
 def describe(key: Key) -> dict[str, str]:
     """A node's key as a record."""
     if key[0] == "activity":

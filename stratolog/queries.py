@@ -81,6 +81,66 @@ def _fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(rows, "layer int, id string, color string, object_types array<string>, transitions array<string>, places int, arcs int")
 
 
+def _mined(spark: SparkSession, sf_dir: str, rows: Callable, schema: str) -> DataFrame:
+    """Rows of each layer's mined net; nets have as many nodes as a process has activities."""
+    logs = _layer_logs(spark, sf_dir)
+    levels = {r[0]: r[1] for r in logs.activity_layer().collect()}
+    return spark.createDataFrame([row for layer, model in sorted(discover_nets(logs.relations()).items()) for row in rows(layer, net.merge(model), levels)], schema)
+
+
+def _mined_places(layer: int, merged: net.Merged, levels: dict[str, int]):
+    for otype in sorted({p[1] for p in merged.places}):
+        for place, onward in merged.place_graph(otype).items():
+            yield from ((layer, otype, place[2], q[2]) for q in sorted(onward))
+
+
+def _mined_parts(layer: int, merged: net.Merged, levels: dict[str, int]):
+    for part in fragments.linked(merged, fragments.candidates(merged, levels, layer)):
+        names = sorted(map(net.node_name, part))
+        yield from ((layer, name, names[0]) for name in names)
+
+
+#: Small nets of every shape that the fragment rules tell apart, with the activities inside: (nets by type, inside).
+FRAGMENT_NETS: dict[str, tuple[dict[str, net.Net], str]] = {
+    "two_types": (
+        {
+            "parcel": net.from_chains("p0>open>p1>fill>p2>seal>p3>send>p4", activities=("open", "fill", "seal", "send")),
+            "truck": net.from_chains("t0>come>t1>fill>t2>go>t3", activities=("come", "fill", "go")),
+        },
+        "fill seal",
+    ),
+    "from_the_start": ({"x": net.from_chains("s>a>m>b>e>c>f", activities="abc")}, "a b"),
+    "to_the_end": ({"x": net.from_chains("s>c>m>a>n>b>e", activities="abc")}, "a b"),
+    "way_around": ({"x": net.from_chains("s>a>m>b>e", "s>c>n>d>e", activities="abcd")}, "a b"),
+    "way_in_between": ({"x": net.from_chains("s>a>m>b>e", "s>c>n>d>k", "k>f>e", activities="abcdf")}, "a b f"),
+    "apart": ({"x": net.from_chains("s>c>m>a>n>d>e", "u>f>v>b>w>g>z", activities="abcdfg")}, "a b"),
+    "two_ends": ({"x": net.from_chains("s>c>m>a>n>b>k>d>e", "a>z", activities="abcd")}, "a b"),
+    "silent_skip": ({"x": net.from_chains("s>c>m>a>n>b>k>d>e", "m>skip>n", activities="abcd", silent=("skip",))}, "a b"),
+    "loop": ({"x": net.from_chains("s>c>m>a>n>b>k>d>e", "n>redo>m", activities="abcd", silent=("redo",))}, "a b"),
+    "loop_outside": ({"x": net.from_chains("s>a>m>b>e", "e>c>s", activities="abc")}, "a b"),
+    "parallel": ({"x": net.from_chains("s>split>l>a>m>join>e", "split>r>b>n>join", activities="ab", silent=("split", "join"))}, "a b"),
+    "half_of_parallel": ({"x": net.from_chains("s>split>l>a>m>join>e", "split>r>b>n>join", activities="ab", silent=("split", "join"))}, "a"),
+    "second_type_breaks": (
+        {
+            "x": net.from_chains("s>a>m>b>n>d>e", activities="abd"),
+            "y": net.from_chains("u>a>v>c>w>b>z", activities="abc"),
+        },
+        "a b d",
+    ),
+    "all_of_it": ({"x": net.from_chains("s>a>m>b>n>d>e", activities="abd"), "y": net.from_chains("u>a>v>b>z", activities="ab")}, "a b d"),
+    "rival_choices": ({"x": net.from_chains("s>a>m>b>n>d>e", "m>c>e", activities="abcd")}, "a b d"),
+}
+
+
+def _net_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fragments of the fixed nets; no table is read."""
+    rows = []
+    for name, (nets, inside) in FRAGMENT_NETS.items():
+        for f in fragments.detect(net.OCNet(nets), dict.fromkeys(inside.split(), 1), 2):
+            rows.append((name, ",".join(f.object_types), ",".join(sorted(map(net.node_name, f.transitions))), len(f.places), len(f.arcs)))
+    return spark.createDataFrame(rows, "net string, object_types string, transitions string, places int, arcs int")
+
+
 def _matrix(log: Log) -> DataFrame:
     """Several scorers read the same relations, so those are kept while the matrix (types squared) is made, and dropped again."""
     rows = scores.score_matrix(log.keep())
@@ -140,12 +200,68 @@ QUERIES: dict[str, Query] = {
     "place_graph": _of_layers(lambda x: flows.place_graph(flows.flow_net(x.relations()))),
     "candidate_components": _of_layers(lambda x: flows.candidate_components(flows.flow_net(x.relations()), x.activity_layer())),
     "net_arcs": lambda spark, sf_dir: net.net_arcs(spark, sorted(discover_nets(_layer_logs(spark, sf_dir).relations()).items())),
+    "mined_place_graph": lambda spark, sf_dir: _mined(spark, sf_dir, _mined_places, "layer int, otype string, place string, successor string"),
+    "mined_components": lambda spark, sf_dir: _mined(spark, sf_dir, _mined_parts, "layer int, transition string, component string"),
     "subprocess_fragments": _fragments,
+    "net_fragments": _net_fragments,
 }
 
 # The same in SQL.
 
-_TABLES = {
+
+def _values(rows) -> str:
+    return ", ".join("(" + ", ".join(str(x).lower() if isinstance(x, bool) else f"'{x}'" for x in row) + ")" for row in rows)
+
+
+def _fixed_arcs():
+    """net, otype, place, transition, whether the transition fills the place."""
+    for name, (nets, _) in FRAGMENT_NETS.items():
+        for otype, one in nets.items():
+            for a, b in one.arcs:
+                made = a in one.transitions
+                place, transition = (b, a) if made else (a, b)
+                yield name, otype, place, net.node_name(net.transition_key(otype, transition, one.transitions[transition])), made
+
+
+def _fixed_inside():
+    for name, (nets, inside) in FRAGMENT_NETS.items():
+        yield from ((name, x) for x in inside.split())
+        yield from ((name, f"{otype}/{t}") for otype, one in nets.items() for t, label in one.transitions.items() if label is None)
+
+
+#: Feasible sets by trying every set of transitions inside: f_set is all of them, as bit masks.
+_FRAGMENT_TABLES = {
+    "f_arc": f"SELECT * FROM (VALUES {_values(_fixed_arcs())}) v(net, otype, place, t, made)",
+    "f_in": f"SELECT * FROM (VALUES {_values(_fixed_inside())}) v(net, t)",
+    "f_bit": "SELECT net, t, CAST(row_number() OVER (PARTITION BY net ORDER BY t) - 1 AS INTEGER) AS bit FROM f_in",
+    "f_set": "SELECT net, CAST(r.range AS INTEGER) AS mask FROM (SELECT net, count(*) AS n FROM f_bit GROUP BY net) b JOIN range(1, 256) r ON r.range < pow(2, n)",
+    "f_member": "SELECT s.net, mask, t FROM f_set s JOIN f_bit b ON b.net = s.net AND (mask >> bit) & 1 = 1",
+    "f_whole": "SELECT net, otype, place, count(DISTINCT t) AS n FROM f_arc GROUP BY net, otype, place",
+    "f_touch": """SELECT m.net, mask, a.otype, a.place, bool_or(made) AS fed, bool_or(NOT made) AS drawn, count(DISTINCT m.t) AS n
+        FROM f_member m JOIN f_arc a ON a.net = m.net AND a.t = m.t GROUP BY m.net, mask, a.otype, a.place""",
+    "f_type": """SELECT net, mask, otype, count(*) FILTER (WHERE NOT fed) AS ins, count(*) FILTER (WHERE NOT drawn) AS outs,
+        min(place) FILTER (WHERE NOT fed) AS entry, min(place) FILTER (WHERE NOT drawn) AS leave FROM f_touch GROUP BY net, mask, otype""",
+    "f_hop": "SELECT DISTINCT a.net, a.otype, a.t, a.place AS p, b.place AS q FROM f_arc a JOIN f_arc b ON a.net = b.net AND a.otype = b.otype AND a.t = b.t AND b.made AND NOT a.made",
+    "f_way": """SELECT net, mask, otype, place AS p, place AS q FROM f_touch
+        UNION SELECT w.net, w.mask, w.otype, w.p, h.q FROM f_way w JOIN f_hop h ON h.net = w.net AND h.otype = w.otype AND h.p = w.q JOIN f_member m ON m.net = w.net AND m.mask = w.mask AND m.t = h.t""",
+    "f_walk": """SELECT net, mask, otype, leave, entry AS q, false AS own, false AS other FROM f_type WHERE ins = 1 AND outs = 1
+        UNION SELECT w.net, w.mask, w.otype, w.leave, h.q, w.own OR (x.place IS NOT NULL AND h.q <> w.leave), w.other OR x.place IS NULL
+        FROM f_walk w JOIN f_hop h ON h.net = w.net AND h.otype = w.otype AND h.p = w.q LEFT JOIN f_touch x ON x.net = w.net AND x.mask = w.mask AND x.otype = w.otype AND x.place = h.q""",
+    "f_near": "SELECT DISTINCT a.net, a.t AS one, b.t AS two FROM f_arc a JOIN f_arc b ON a.net = b.net AND a.otype = b.otype AND a.place = b.place",
+    "f_link": """SELECT net, mask, min(t) AS t FROM f_member GROUP BY net, mask
+        UNION SELECT l.net, l.mask, m.t FROM f_link l JOIN f_near n ON n.net = l.net AND n.one = l.t JOIN f_member m ON m.net = l.net AND m.mask = l.mask AND m.t = n.two""",
+    "f_bad": """SELECT x.net, x.mask FROM f_touch x JOIN f_whole w ON w.net = x.net AND w.otype = x.otype AND w.place = x.place WHERE fed AND drawn AND x.n < w.n
+        UNION SELECT net, mask FROM f_type WHERE ins <> 1 OR outs <> 1
+        UNION SELECT x.net, x.mask FROM f_touch x JOIN f_type k ON k.net = x.net AND k.mask = x.mask AND k.otype = x.otype
+            LEFT JOIN f_way a ON a.net = x.net AND a.mask = x.mask AND a.otype = x.otype AND a.p = k.entry AND a.q = x.place
+            LEFT JOIN f_way b ON b.net = x.net AND b.mask = x.mask AND b.otype = x.otype AND b.p = x.place AND b.q = k.leave WHERE a.p IS NULL OR b.p IS NULL
+        UNION SELECT net, mask FROM f_walk WHERE q = leave AND own AND other
+        UNION SELECT net, mask FROM f_link GROUP BY net, mask HAVING count(*) < bit_count(mask)""",
+    "f_good": "SELECT s.net, s.mask FROM f_set s LEFT JOIN f_bad b ON b.net = s.net AND b.mask = s.mask WHERE b.mask IS NULL",
+    "f_most": "SELECT a.net, a.mask FROM f_good a LEFT JOIN f_good b ON b.net = a.net AND b.mask <> a.mask AND b.mask & a.mask = a.mask WHERE b.mask IS NULL AND bit_count(a.mask) > 1",
+}
+
+_TABLES = _FRAGMENT_TABLES | {
     "item": "SELECT 'i:' || l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS item, l_orderkey AS ok, l_partkey AS pk, l_suppkey AS sk, min(l_shipdate) AS sd, max(l_returnflag) AS rf FROM lineitem GROUP BY l_orderkey, l_linenumber, l_partkey, l_suppkey",
     "ev": """SELECT 'po:' || o_orderkey AS eid, 'place_order' AS activity, o_orderdate AS ts FROM orders
         UNION ALL SELECT 'sh:' || item, 'ship_item', sd FROM item
@@ -306,6 +422,9 @@ ORACLE_SQL: dict[str, str] = {
     "arc_multiplicity": _sql("""SELECT layer, otype, activity, count(*) AS events, count(*) FILTER (WHERE objects = 1) AS single, count(*) > count(*) FILTER (WHERE objects = 1) AS variable
         FROM (SELECT layer, otype, activity, eid, count(*) AS objects FROM lr GROUP BY layer, otype, activity, eid) GROUP BY layer, otype, activity"""),
     "place_graph": _sql("SELECT DISTINCT a.layer, a.otype, a.place, b.place AS successor FROM arcs a JOIN arcs b ON a.layer = b.layer AND a.otype = b.otype AND a.activity = b.activity WHERE a.enters AND NOT b.enters"),
+    "net_fragments": _sql("""SELECT f.net, string_agg(DISTINCT a.otype, ',' ORDER BY a.otype) AS object_types, string_agg(DISTINCT m.t, ',' ORDER BY m.t) AS transitions,
+        CAST(count(DISTINCT a.otype || '/' || a.place) AS INTEGER) AS places, CAST(count(*) AS INTEGER) AS arcs
+        FROM f_most f JOIN f_member m ON m.net = f.net AND m.mask = f.mask JOIN f_arc a ON a.net = m.net AND a.t = m.t GROUP BY f.net, f.mask"""),
     "candidate_components": _sql("SELECT layer, one AS activity, min(two) AS component FROM reach GROUP BY layer, one"),
 }
 for _name, _related in (("related_counts", "related_plain"), ("related_counts_explicit", "related_more")):

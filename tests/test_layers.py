@@ -45,6 +45,14 @@ def test_pull_holds_together_and_small_cases():
     assert layers.solve(["a"], {}, {}) == {"a": 1}
 
 
+def test_report(capsys):
+    push, pull = {("a", "b"): 0.5}, {("a", "b"): 0.25}
+    found = layers.solve(["a", "b"], push, pull, verbose=True)
+    shown = capsys.readouterr().out.splitlines()
+    assert shown == ["status: optimal", "objective: 0.25", f"a  {found['a']}", f"b  {found['b']}"]
+    assert layers.report(found, push, pull, margin_scale=1).splitlines()[1] == "objective: 0.5"
+
+
 @pytest.mark.parametrize("score, scaled", [(0.5, 500_000_000), (-0.25, -250_000_000), (0.0, 0), (2.5e-9, 3), (-2.5e-9, -3)])
 def test_quantise(score, scaled):
     assert layers.quantise(score) == scaled

@@ -126,6 +126,20 @@ def test_weights_and_own_scorers(spark):
     log.release()
 
 
+def test_declared_types(spark):
+    events, objects, e2o = [("e", "do", None)], [("a", "x"), ("b", "y"), ("c", "idle"), ("d", "idle")], [("e", "a"), ("e", "b")]
+    tables = (
+        spark.createDataFrame(events, "eid string, activity string, ts timestamp"),
+        spark.createDataFrame(objects, "oid string, otype string"),
+        spark.createDataFrame(e2o, "eid string, oid string"),
+    )
+    usual, whole = Log.from_tables(*tables), Log.from_tables(*tables, declared_types=True)
+    assert usual.object_types == ["x", "y"] and whole.object_types == ["idle", "x", "y"]
+    few, many = ({(r.source_type, r.target_type): (r.push, r.pull) for r in scores.score_matrix(log).collect()} for log in (usual, whole))
+    assert len(few) == 4 and len(many) == 9 and few.items() <= many.items()
+    assert {v for k, v in many.items() if "idle" in k} == {(0.0, 0.0)}
+
+
 def test_from_tables_checks_columns(spark):
     frame = spark.createDataFrame([("a", "b")], "eid string, x string")
     with pytest.raises(ValueError, match="activity"):

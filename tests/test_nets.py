@@ -13,17 +13,10 @@ from stratolog.functions.palette import fragment_colors, type_colors
 from stratolog.plans import fragments, miner, render
 from stratolog.plans.fragments import BudgetExceeded, Fragment, detect
 from stratolog.plans.net import Net, OCNet, merge
+from stratolog.plans.net import from_chains as net
 from stratolog.plans.traces import mine_all
 
 
-def net(*chains, activities, silent=()):
-    """Arcs from chains of names; names in ``activities`` are labelled transitions, in ``silent`` silent ones, the rest places."""
-    arcs = {(a, b) for c in chains for a, b in zip(c.split(">"), c.split(">")[1:])}
-    names = {x for arc in arcs for x in arc}
-    transitions = {x: (x if x in activities else None) for x in sorted(names & {*activities, *silent})}
-    return Net(tuple(sorted(names - set(transitions))), transitions, tuple(sorted(arcs)))
-
-
 def found(nets, inside, outside=()):
     levels = dict.fromkeys(inside, 1) | dict.fromkeys(outside, 2)
     return detect(OCNet(nets), levels, 2)
