@@ -16,7 +16,8 @@ Results go back by the segment's 128-bit hash to (row, first word), and each doc
 written once, combined; the places of segments are found again from the documents and carry no text.
 
 Null and empty texts, and texts shorter than a window, lose nothing.  Long texts are searched whole.  Repeated rows are copies of each other.  An empty
-table gives an empty result.  Only ``doc_id`` and ``text`` are read.  Windows may have up to ``MOST_WINDOW`` words, as many as a mask has bits.
+table gives an empty result.  Only ``doc_id`` and ``text`` are read.  Windows may have any number of words: k is so large that a segment has no more windows than
+a mask has bits.
 """
 
 from __future__ import annotations
@@ -37,7 +38,8 @@ from .fmindex import FMIndex
 WINDOW = 35
 #: Words of segments in a shard, at most about; those of one anchor beyond which its windows go separate ways; bits of the bitmap at most, as a power of two.
 SHARD_WORDS, ANCHOR_WORDS, BITMAP = 400_000, 400_000, 27
-MOST_WINDOW = 93
+#: Windows of a segment at most.
+MASK_BITS = 63
 
 _BLANK = np.zeros(256, bool)
 _BLANK[[32, *range(9, 14)]] = True
@@ -168,9 +170,9 @@ def _keyed(docs: DataFrame) -> DataFrame:
 def repeated(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """h1, h2 (of rows with equal id and text) and ``found``: array of (first word, mask of the repeated windows from there on)."""
     spark = docs.sparkSession
-    k = max(1, min(window // 3, window))
-    if window > MOST_WINDOW:
-        raise ValueError(f"windows of at most {MOST_WINDOW} words")
+    if window < 1:
+        raise ValueError("a window has at least one word")
+    k = max(1, window // 3, window - MASK_BITS + 1)
     texts = docs.select("text").where("length(text) > 0")
     anchors = texts.mapInArrow(_anchors(window, k), "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1")
     anchors = reliable(anchors.select("anchor"))
@@ -224,14 +226,20 @@ def _kept(window: int, texts: bool):
             inner = found.values
             first, mask = (inner.field(c).to_numpy(zero_copy_only=False) for c in ("first", "mask"))
             n_words, n_removed, digest, kept = [], [], [], []
+            begin, end, n_spans = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [0]
             for k in range(batch.num_rows):
                 words = data[offsets[k] : offsets[k + 1]].tobytes().split()
                 n_words.append(len(words))
                 lo, hi = spans[k], spans[k + 1]
                 removed = 0
+                n_spans.append(0)
                 if hi > lo:
                     at, bit = np.nonzero(np.unpackbits(mask[lo:hi].astype("<i8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"))
-                    start = first[lo:hi][at].astype(np.int64) + bit
+                    start = np.sort(first[lo:hi][at].astype(np.int64) + bit)
+                    breaks = np.flatnonzero(np.diff(start) > 1)
+                    begin.append(start[np.concatenate([[0], breaks + 1])])
+                    end.append(start[np.concatenate([breaks, [len(start) - 1]])] + window - 1)
+                    n_spans[-1] = len(breaks) + 1
                     change = np.bincount(start, minlength=len(words) + 1) - np.bincount(start + window, minlength=len(words) + 1)
                     gone = np.cumsum(change)[: len(words)] > 0
                     removed = int(gone.sum())
@@ -243,15 +251,20 @@ def _kept(window: int, texts: bool):
             made = [pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(digest, pa.string())]
             if texts:
                 made.append(pa.array(kept, pa.binary()).cast(pa.string()))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *made], ["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"][: 1 + len(made)])
+                ends = pa.StructArray.from_arrays([pa.array(np.concatenate(begin)), pa.array(np.concatenate(end))], ["first", "last"])
+                made.append(pa.ListArray.from_arrays(pa.array(np.cumsum(n_spans).astype(np.int32)), ends))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *made], ["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text", "spans"][: 1 + len(made)])
 
     return run
 
 
 def remove_repeated(docs: DataFrame, window: int = WINDOW, texts: bool = True) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256 and, if wanted, kept_text (kept words joined by one space) of every document."""
+    """doc_id, n_words, n_removed, kept_sha256 and, if ``texts``, kept_text and spans of every document.
+
+    kept_text: the kept words joined by one space.  spans: the longest stretches (first word, last word) all of whose windows are repeated, in order; they may overlap.
+    """
     found = repeated(docs, window)
     rows = _keyed(docs).join(found, ["h1", "h2"], "left")
     rows = rows.select("doc_id", "text", F.coalesce("found", F.expr("cast(array() as array<struct<first:int,mask:bigint>>)")).alias("found"))
-    schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + (", kept_text string" if texts else "")
+    schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + (", kept_text string, spans array<struct<first:bigint,last:bigint>>" if texts else "")
     return rows.mapInArrow(_kept(window, texts), schema)

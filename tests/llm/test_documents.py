@@ -356,13 +356,28 @@ def brute_removed(rows, window):
         yield i, len(w), sum(gone), hashlib.sha256(b" ".join(x for x, g in zip(w, gone) if not g)).hexdigest()
 
 
-@pytest.mark.parametrize("window, most", [(35, 400_000), (35, 40), (4, 20), (1, 400_000), (93, 100)])
+@pytest.mark.parametrize("window, most", [(35, 400_000), (35, 40), (4, 20), (1, 400_000), (93, 100), (130, 400_000), (130, 150)])
 def test_substrings(docs, rows, window, most, monkeypatch):
     monkeypatch.setattr(substrings, "ANCHOR_WORDS", most)
     got = substrings.remove_repeated(docs, window, texts=False).collect()
     same(got, list(brute_removed(rows, window)))
 
 
+def test_spans_of_repeated_windows(docs, rows):
+    words = [WORD.findall(t or "") for _, t, *_ in rows]
+    seen = Counter(tuple(w[k : k + 35]) for w in words for k in range(len(w) - 34))
+    expected = []
+    for (i, *_), w in zip(rows, words):
+        on = [k >= 0 and seen.get(tuple(w[k : k + 35]), 0) > 1 for k in range(-1, len(w) + 1)]
+        edges = [k - 1 for k in range(1, len(on)) if on[k] != on[k - 1]]
+        expected.append((i, tuple((a, b + 33) for a, b in zip(edges[::2], edges[1::2]))))
+    got = [(r.doc_id, tuple(map(tuple, r.spans)), r.kept_text) for r in substrings.remove_repeated(docs).collect()]
+    same([(i, s) for i, s, _ in got], expected)
+    assert sum(map(bool, (s for _, s, _ in got))) > 5
+    texts = {hashlib.sha256(t.encode()).hexdigest() for *_, t in got}
+    assert texts == {h for *_, h in brute_removed(rows, 35)}
+
+
 def test_fm_index_windows():
     from stratolog.llm.fmindex import FMIndex
 
