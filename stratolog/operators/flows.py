@@ -7,6 +7,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+#: Events of one object that a task takes as a whole.
+BUSY = 100_000
+
+
 def _order() -> tuple:
     """Events of an object are in order of time, then id; events without a time come last."""
     return F.col("ts").asc_nulls_last(), F.col("eid")
@@ -20,11 +24,22 @@ def object_variants(relations: DataFrame) -> DataFrame:
     return traces.select("layer", "otype", trace.alias("trace")).groupBy("layer", "otype", "trace").agg(F.count(F.lit(1)).alias("objects"))
 
 
-def directly_follows(relations: DataFrame) -> DataFrame:
-    """layer, otype, activity, follower, n."""
-    own = W.partitionBy("layer", "otype", "oid").orderBy(*_order())
-    rows = relations.withColumn("follower", F.lead("activity").over(own)).where("follower is not null")
-    return rows.groupBy("layer", "otype", "activity", "follower").agg(F.count(F.lit(1)).alias("n"))
+def directly_follows(relations: DataFrame, busy: int = BUSY) -> DataFrame:
+    """layer, otype, activity, follower, n.
+
+    The trace of an object with more than ``busy`` events is cut into months, so that no task needs all of it; the last activity of one month is followed by
+    the first of the next.  Months are in the order of time, so the counts do not depend on where a trace is cut.
+    """
+    keys = ["layer", "otype", "oid"]
+    many = relations.groupBy(*keys).agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > busy).select(*keys, F.lit(True).alias("many"))
+    month = F.when(F.col("many"), F.struct(F.col("ts").isNull().alias("late"), F.trunc("ts", "month").alias("month")))
+    rows = relations.join(many, keys, "left").select(*keys, "activity", "ts", "eid", "many", month.alias("part"))
+    within = rows.withColumn("follower", F.lead("activity").over(W.partitionBy(*keys, "part").orderBy(*_order())))
+    rank = F.struct(F.col("ts").isNull().alias("late"), "ts", "eid")
+    parts = rows.where("many").groupBy(*keys, "part").agg(F.min_by("activity", rank).alias("first"), F.max_by("activity", rank).alias("activity"))
+    between = parts.withColumn("follower", F.lead("first").over(W.partitionBy(*keys).orderBy("part")))
+    out = ["layer", "otype", "activity", "follower"]
+    return within.select(*out).unionByName(between.select(*out)).where("follower is not null").groupBy(*out).agg(F.count(F.lit(1)).alias("n"))
 
 
 def start_end_activities(relations: DataFrame) -> DataFrame:

@@ -197,6 +197,18 @@ def test_flows_order_ties_and_missing_times(spark):
     assert {(r.activity, r.starts, r.ends) for r in flows.start_end_activities(frame).collect()} == {("a", 1, 0), ("late", 0, 1)}
 
 
+@pytest.mark.parametrize("busy", [0, 3, 100_000])
+def test_followers_of_busy_objects(spark, busy):
+    rng = random.Random(4)
+    rows = [(1, f"o{rng.randint(0, 3)}", "x", f"e{k:03}", rng.choice("abc"), dt.datetime(2020, rng.randint(1, 5), rng.randint(1, 3)) if rng.random() < 0.9 else None) for k in range(120)]
+    frame = spark.createDataFrame(rows, "layer int, oid string, otype string, eid string, activity string, ts timestamp_ntz")
+    traces = defaultdict(list)
+    for _, oid, _, eid, activity, ts in sorted(rows, key=lambda r: (r[5] is None, r[5] or dt.datetime.min, r[3])):
+        traces[oid].append(activity)
+    expected = Counter(pair for t in traces.values() for pair in zip(t, t[1:]))
+    assert {(r.activity, r.follower): r.n for r in flows.directly_follows(frame, busy).collect()} == expected
+
+
 def test_layer_sink(spark, tmp_path):
     raw = random_log(2)
     log = frames(spark, *raw)
