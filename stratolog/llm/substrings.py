@@ -25,6 +25,7 @@ from __future__ import annotations
 import hashlib
 import uuid
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +41,8 @@ WINDOW = 35
 SHARD_WORDS, ANCHOR_WORDS, BITMAP = 400_000, 400_000, 27
 #: Windows of a segment at most.
 MASK_BITS = 63
+#: Bytes of texts that are looked at side by side.
+BLOCK = 1 << 20
 
 _BLANK = np.zeros(256, bool)
 _BLANK[[32, *range(9, 14)]] = True
@@ -57,6 +60,42 @@ def _powers(base: np.uint64, n: int) -> np.ndarray:
     return np.cumprod(np.concatenate([[np.uint64(1)], np.full(max(0, n - 1), base)]), dtype=np.uint64)
 
 
+@lru_cache(2)
+def _usual_powers(base: np.uint64) -> np.ndarray:
+    return _powers(base, BLOCK)
+
+
+def _power_table(base: np.uint64, n: int) -> np.ndarray:
+    return _usual_powers(base)[:n] if n <= BLOCK else _powers(base, n)
+
+
+def _grams(word: np.ndarray, k: int) -> np.ndarray:
+    """A hash of each k words in a row: sums of words times powers of a constant, for twice as many words at each step."""
+    base, done, out, span = 0xD6E8FEB86659FD93, 0, None, 1
+    n = len(word) - k + 1
+    while True:
+        if k & span:
+            tail = word[done : done + n]
+            out = tail if out is None else out * np.uint64(pow(base, span, 2**64)) + tail
+            done += span
+        if 2 * span > k:
+            return out
+        word = word[: len(word) - span] * np.uint64(pow(base, span, 2**64)) + word[span:]
+        span *= 2
+
+
+def _leftmost_least(values: np.ndarray, width: int) -> np.ndarray:
+    """For each stretch of ``width`` values (at most 256) how far from its start its least value is, the first of equal ones."""
+    least, at, span = values, np.zeros(len(values), np.uint8), 1
+    while span < width:
+        step = min(span, width - span)
+        later = least[step:] < least[:-step]
+        at = np.where(later, at[step:] + np.uint8(step), at[:-step])
+        least = np.minimum(least[:-step], least[step:])
+        span += step
+    return at
+
+
 class Words:
     """The words of a block of texts: where they start and end, in which row, and a hash of each (for anchors only: nothing is judged by it)."""
 
@@ -79,18 +118,15 @@ class Words:
         none = np.zeros(0, np.int64)
         if n < window:
             return none, none, none, none
-        prefix = np.concatenate([[np.uint64(0)], np.cumsum(_BYTE[self.data] * _powers(_R, len(self.data)), dtype=np.uint64)])
-        inverse = _powers(_R_INVERSE, len(self.data))
+        prefix = np.concatenate([[np.uint64(0)], np.cumsum(_BYTE[self.data] * _power_table(_R, len(self.data)), dtype=np.uint64)])
+        inverse = _power_table(_R_INVERSE, len(self.data))
         word = _mix((prefix[self.end] - prefix[self.start]) * inverse[self.start] + (self.end - self.start).astype(np.uint64))
-        gram = np.zeros(n - k + 1, np.uint64)
-        for j in range(k):
-            gram = gram * np.uint64(0xD6E8FEB86659FD93) + word[j : n - k + 1 + j]
-        gram = _mix(gram)
+        gram = _mix(_grams(word, k))
         row = np.repeat(np.arange(len(self.row_end)), self.row_end - self.row_start)
         start = np.flatnonzero(row[: n - window + 1] == row[window - 1 :])
         if not len(start):
             return none, none, none, none
-        anchor = start + np.lib.stride_tricks.sliding_window_view(gram, window - k + 1)[start].argmin(1)
+        anchor = start + _leftmost_least(gram, window - k + 1)[start]
         new = np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (start[1:] != start[:-1] + 1)])
         at = np.flatnonzero(new)
         last = np.concatenate([at[1:], [len(start)]]) - 1
@@ -110,7 +146,7 @@ def _anchors(window: int, k: int):
         for batch in batches:
             data, offsets = utf8(batch.column("text"))
             found = [np.zeros(0, np.int64)]
-            for lo, hi in blocks(offsets, 1 << 20):
+            for lo, hi in blocks(offsets, BLOCK):
                 found.append(Words(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]).segments(window, k)[3])
             anchor, n = np.unique(np.concatenate(found), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(n)], ["anchor", "n"])
@@ -124,7 +160,7 @@ def _segments(window: int, k: int, bitmap, bits: int):
         for batch in batches:
             data, offsets = utf8(batch.column("text"))
             keys = [batch.column(c) for c in ("doc_id", "h1", "h2")]
-            for lo, hi in blocks(offsets, 1 << 20):
+            for lo, hi in blocks(offsets, BLOCK):
                 words = Words(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
                 row, first, last, anchor = words.segments(window, k)
                 slot = anchor & ((1 << bits) - 1)
@@ -236,10 +272,11 @@ def _kept(window: int, texts: bool):
                 if hi > lo:
                     at, bit = np.nonzero(np.unpackbits(mask[lo:hi].astype("<i8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"))
                     start = np.sort(first[lo:hi][at].astype(np.int64) + bit)
-                    breaks = np.flatnonzero(np.diff(start) > 1)
-                    begin.append(start[np.concatenate([[0], breaks + 1])])
-                    end.append(start[np.concatenate([breaks, [len(start) - 1]])] + window - 1)
-                    n_spans[-1] = len(breaks) + 1
+                    if texts:
+                        breaks = np.flatnonzero(np.diff(start) > 1)
+                        begin.append(start[np.concatenate([[0], breaks + 1])])
+                        end.append(start[np.concatenate([breaks, [len(start) - 1]])] + window - 1)
+                        n_spans[-1] = len(breaks) + 1
                     change = np.bincount(start, minlength=len(words) + 1) - np.bincount(start + window, minlength=len(words) + 1)
                     gone = np.cumsum(change)[: len(words)] > 0
                     removed = int(gone.sum())
