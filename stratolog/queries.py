@@ -143,7 +143,7 @@ def _net_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _matrix(log: Log) -> DataFrame:
     """Several scorers read the same relations, so those are kept while the matrix (types squared) is made, and dropped again."""
-    rows = scores.score_matrix(log.keep())
+    rows = scores.score_matrix(log.keep(), settle=bool(log.plans))
     found = log.events.sparkSession.createDataFrame(rows.collect(), rows.schema)
     log.release()
     return found
@@ -161,7 +161,7 @@ QUERIES: dict[str, Query] = {
     "type_population": _of_log(lambda log: relations.type_population(log.participants)),
     "lifespan": _of_log(_lifespan),
     "lifespan_null_times": _of_log(_lifespan, null_times=True),
-    "cooccurrence": _of_log(lambda log: relations.cooccurrence(log.events, log.typed)),
+    "cooccurrence": _of_log(lambda log: log.cooccurrence),
     "explicit_edges": _of_log(lambda log: relations.explicit_edges(log.o2o, log.participants), explicit_edges=True),
     "related_counts": _of_log(lambda log: relations.related_counts(log.degrees)),
     "related_counts_explicit": _of_log(lambda log: relations.related_counts(log.degrees), explicit_edges=True),
