@@ -31,6 +31,7 @@ def odd(spark, tmp_path_factory):
 
 CHECKED = [
     "lifespan",
+    "lifespan_null_times",
 ]
 
 
