@@ -32,6 +32,7 @@ def odd(spark, tmp_path_factory):
 CHECKED = [
     "lifespan",
     "lifespan_null_times",
+    "bilateral_signatures",
 ]
 
 
