@@ -33,6 +33,7 @@ CHECKED = [
     "lifespan",
     "lifespan_null_times",
     "bilateral_signatures",
+    "cardinality_scores",
 ]
 
 
