@@ -34,6 +34,7 @@ CHECKED = [
     "lifespan_null_times",
     "bilateral_signatures",
     "cardinality_scores",
+    "cooccurrence",
 ]
 
 
