@@ -35,6 +35,7 @@ CHECKED = [
     "bilateral_signatures",
     "cardinality_scores",
     "cooccurrence",
+    "degrees",
 ]
 
 
