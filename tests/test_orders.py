@@ -36,6 +36,7 @@ CHECKED = [
     "cardinality_scores",
     "cooccurrence",
     "degrees",
+    "divergence_ratio",
 ]
 
 
