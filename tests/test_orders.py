@@ -37,6 +37,7 @@ CHECKED = [
     "cooccurrence",
     "degrees",
     "divergence_ratio",
+    "divergence_scores",
 ]
 
 
