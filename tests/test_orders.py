@@ -38,6 +38,7 @@ CHECKED = [
     "degrees",
     "divergence_ratio",
     "divergence_scores",
+    "diverging_targets",
 ]
 
 
