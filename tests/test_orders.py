@@ -39,6 +39,7 @@ CHECKED = [
     "divergence_ratio",
     "divergence_scores",
     "diverging_targets",
+    "dominant_signature",
 ]
 
 
