@@ -40,6 +40,7 @@ CHECKED = [
     "divergence_scores",
     "diverging_targets",
     "dominant_signature",
+    "interaction_counts",
 ]
 
 
