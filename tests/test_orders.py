@@ -41,6 +41,7 @@ CHECKED = [
     "diverging_targets",
     "dominant_signature",
     "interaction_counts",
+    "related_counts",
 ]
 
 
