@@ -43,6 +43,7 @@ CHECKED = [
     "interaction_counts",
     "related_counts",
     "related_counts_explicit",
+    "time_counters",
 ]
 
 
