@@ -44,6 +44,7 @@ CHECKED = [
     "related_counts",
     "related_counts_explicit",
     "time_counters",
+    "time_counters_null_times",
 ]
 
 
