@@ -45,6 +45,7 @@ CHECKED = [
     "related_counts_explicit",
     "time_counters",
     "time_counters_null_times",
+    "time_scores",
 ]
 
 
