@@ -44,27 +44,39 @@ class LayerLogs:
         context = context or normalise_context(known, None)
         self.context = spark.createDataFrame([(k, context[k]) for k in known], "layer int, context int")
 
-    def _related(self) -> DataFrame:
-        """eid, activity, ts, oid, otype, own: the layer of each object of each event; only participants count."""
-        typed = self.log.typed.join(F.broadcast(self.layers.withColumnRenamed("layer", "own")), "otype")
-        return typed.join(self.log.events, "eid").select("eid", "activity", "ts", "oid", "otype", "own")
+    def _own(self) -> DataFrame:
+        """A type's row is small: the layers are broadcast."""
+        return F.broadcast(self.layers.withColumnRenamed("layer", "own"))
 
     def activity_layer(self) -> DataFrame:
         """The lowest layer that an activity's events touch."""
-        return self._related().groupBy("activity").agg(F.min("own").alias("activity_layer"))
+        kinds = self.log.event_kinds.select("activity", F.explode("kinds.otype").alias("otype")).distinct()
+        return kinds.join(self._own(), "otype").groupBy("activity").agg(F.min("own").alias("activity_layer"))
 
     def layer_activities(self) -> DataFrame:
         """layer, activity, activity_layer of the activities that each layer looks at."""
         rows = self.activity_layer().join(F.broadcast(self.context), F.expr("activity_layer <= layer and layer - activity_layer <= context"))
         return rows.select("layer", "activity", "activity_layer")
 
+    def _included(self) -> DataFrame:
+        """layer, activity: as few rows as layers have activities, so that events never travel for them."""
+        return F.broadcast(self.layer_activities().select("layer", "activity"))
+
     def relations(self) -> DataFrame:
         """layer, eid, activity, ts, oid, otype: selected events with their objects on that layer."""
-        own = self._related().withColumnRenamed("own", "layer")
-        return own.join(self.layer_activities().select("layer", "activity"), ["layer", "activity"]).select("layer", "eid", "activity", "ts", "oid", "otype").distinct()
+        own = self.log.happenings.join(F.broadcast(self.layers), "otype")
+        return own.join(self._included(), ["layer", "activity"]).select("layer", "eid", "activity", "ts", "oid", "otype")
+
+    def _selected(self) -> DataFrame:
+        """layer, activity, eid, times, kinds: one row for each layer, event and activity."""
+        solution = [F.lit(x) for r in self.layers.collect() for x in (r["otype"], r["layer"])]
+        own = F.create_map(*solution) if solution else F.create_map().cast("map<string,int>")
+        found = F.filter(F.array_distinct(F.transform("kinds", lambda k: F.element_at(own, k.getField("otype")))), lambda x: x.isNotNull())
+        rows = self.log.event_kinds.select("eid", "activity", "times", "kinds", F.explode(found).alias("layer"))
+        return rows.join(self._included(), ["layer", "activity"])
 
     def events(self) -> DataFrame:
-        return self.relations().select("layer", "eid", "activity", "ts").distinct()
+        return self._selected().select("layer", "eid", "activity", F.explode("times.ts").alias("ts"))
 
     def objects(self) -> DataFrame:
         return self.relations().select("layer", "oid", "otype").distinct()
@@ -77,25 +89,33 @@ class LayerLogs:
 
     def resources(self, share: tuple[int, int] = (1, 2)) -> DataFrame:
         """layer, activity, otype, own: higher types present in at least ``share`` of the activity's included events."""
-        events = self.events().select("layer", "eid", "activity")
-        total = events.groupBy("layer", "activity").agg(F.count(F.lit(1)).alias("n"))
-        types = self._related().select("eid", "otype", "own").distinct()
-        higher = events.join(types, "eid").where("own > layer").groupBy("layer", "activity", "otype", "own").agg(F.count(F.lit(1)).alias("k"))
+        events = self._selected()
+        total = events.groupBy("layer", "activity").agg(F.sum(F.size("times")).alias("n"))
+        types = events.select("layer", "activity", F.size("times").alias("times"), F.explode("kinds.otype").alias("otype"))
+        types = types.groupBy("layer", "activity", "otype").agg(F.sum("times").alias("k"))
+        higher = types.join(self._own(), "otype").where("own > layer")
         rows = higher.join(total, ["layer", "activity"])
         return rows.where(F.col("k") * share[1] >= F.col("n") * share[0]).select("layer", "activity", "otype", "own", "k", "n")
 
     def activity_resources(self) -> DataFrame:
         """layer, activity, resources: every included activity's resource types, highest layer first."""
         ranked = self.resources().groupBy("layer", "activity").agg(F.array_sort(F.collect_list(F.struct((-F.col("own")).alias("o"), "otype"))).alias("r"))
-        included = self.events().select("layer", "activity").distinct()
+        included = self._selected().select("layer", "activity").distinct()
         types = F.transform("r", lambda x: x.getField("otype"))
         return included.join(ranked, ["layer", "activity"], "left").select("layer", "activity", F.coalesce(types, F.array().cast("array<string>")).alias("resources"))
 
     def highlighted_activities(self) -> DataFrame:
         """Included activities whose own layer is exactly one below."""
-        included = self.events().select("layer", "activity").distinct()
+        included = self._selected().select("layer", "activity").distinct()
         return included.join(self.activity_layer(), "activity").where("activity_layer = layer - 1").select("layer", "activity")
 
+    def arc_multiplicity(self) -> DataFrame:
+        """As ``flows.arc_multiplicity`` of the relations, from the events' counts."""
+        kinds = self.log.event_kinds.select("activity", F.size("times").alias("times"), F.explode("kinds").alias("x")).select("activity", "x.otype", (F.col("x.n") * F.col("times")).alias("objects"))
+        rows = kinds.join(F.broadcast(self.layers), "otype").join(self._included(), ["layer", "activity"])
+        rows = rows.groupBy("layer", "otype", "activity").agg(F.count(F.lit(1)).alias("events"), F.count_if(F.col("objects") == 1).alias("single"))
+        return rows.withColumn("variable", F.col("events") > F.col("single"))
+
     def write(self, folder: str) -> None:
         """The four frames of all layers as Parquet, partitioned by layer."""
         for name in ("events", "relations", "objects", "edges"):

@@ -196,7 +196,7 @@ QUERIES: dict[str, Query] = {
     "object_variants": _of_layers(lambda x: flows.object_variants(x.relations()).select("layer", "otype", F.array_join("trace", ",").alias("trace"), "objects")),
     "dfg": _of_layers(lambda x: flows.directly_follows(x.relations())),
     "start_end_activities": _of_layers(lambda x: flows.start_end_activities(x.relations())),
-    "arc_multiplicity": _of_layers(lambda x: flows.arc_multiplicity(x.relations())),
+    "arc_multiplicity": _of_layers(lambda x: x.arc_multiplicity()),
     "place_graph": _of_layers(lambda x: flows.place_graph(flows.flow_net(x.relations()))),
     "candidate_components": _of_layers(lambda x: flows.candidate_components(flows.flow_net(x.relations()), x.activity_layer())),
     "net_arcs": lambda spark, sf_dir: net.net_arcs(spark, sorted(discover_nets(_layer_logs(spark, sf_dir).relations()).items())),

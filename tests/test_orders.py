@@ -46,6 +46,7 @@ CHECKED = [
     "time_counters",
     "time_counters_null_times",
     "time_scores",
+    "activity_resources",
 ]
 
 
