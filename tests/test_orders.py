@@ -47,6 +47,7 @@ CHECKED = [
     "time_counters_null_times",
     "time_scores",
     "activity_resources",
+    "activity_resources_context",
 ]
 
 
