@@ -48,6 +48,7 @@ CHECKED = [
     "time_scores",
     "activity_resources",
     "activity_resources_context",
+    "arc_multiplicity",
 ]
 
 
