@@ -49,6 +49,7 @@ CHECKED = [
     "activity_resources",
     "activity_resources_context",
     "arc_multiplicity",
+    "activity_layer",
 ]
 
 
