@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .relations import settled
 
 #: Events of one object that a task takes as a whole.
 BUSY = 100_000
@@ -61,10 +62,11 @@ def arc_multiplicity(relations: DataFrame, most: float = 0.0) -> DataFrame:
 def flow_net(relations: DataFrame) -> DataFrame:
     """The net of the directly-follows graph: a place for each edge, one before each start and one after each end.
 
-    layer, otype, place, activity, enters: whether the arc goes from the place to the activity.
+    layer, otype, place, activity, enters: whether the arc goes from the place to the activity.  The graph, activities squared, is found once and then
+    held as rows.
     """
-    edges = directly_follows(relations).select("layer", "otype", F.concat_ws(">", "activity", "follower").alias("place"), "activity", "follower")
-    ends = start_end_activities(relations)
+    edges = settled(directly_follows(relations)).select("layer", "otype", F.concat_ws(">", "activity", "follower").alias("place"), "activity", "follower")
+    ends = settled(start_end_activities(relations))
     arc = lambda df, place, activity, enters: df.select("layer", "otype", F.concat(F.col("otype"), F.lit(":"), place).alias("place"), F.col(activity).alias("activity"), F.lit(enters).alias("enters"))
     return (
         arc(edges, F.col("place"), "activity", False)
@@ -88,7 +90,7 @@ def candidate_components(arcs: DataFrame, activity_layers: DataFrame) -> DataFra
     """
     from ..plans.miner import components
 
-    inside = arcs.join(activity_layers, "activity").where("activity_layer < layer").select("layer", "place", "activity").distinct()
+    inside = arcs.join(F.broadcast(settled(activity_layers)), "activity").where("activity_layer < layer").select("layer", "place", "activity").distinct()
     other = inside.withColumnRenamed("activity", "other")
     links: dict[int, list[tuple[str, str]]] = {}
     for layer, a, b in inside.join(other, ["layer", "place"]).where("activity <= other").select("layer", "activity", "other").distinct().collect():

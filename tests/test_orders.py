@@ -50,6 +50,7 @@ CHECKED = [
     "activity_resources_context",
     "arc_multiplicity",
     "activity_layer",
+    "candidate_components",
 ]
 
 
