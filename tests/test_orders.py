@@ -51,6 +51,7 @@ CHECKED = [
     "arc_multiplicity",
     "activity_layer",
     "candidate_components",
+    "highlighted_activities",
 ]
 
 
