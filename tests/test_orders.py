@@ -52,6 +52,7 @@ CHECKED = [
     "activity_layer",
     "candidate_components",
     "highlighted_activities",
+    "layer_activities",
 ]
 
 
