@@ -53,6 +53,7 @@ CHECKED = [
     "candidate_components",
     "highlighted_activities",
     "layer_activities",
+    "layer_events",
 ]
 
 
