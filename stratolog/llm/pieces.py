@@ -30,6 +30,8 @@ from .common import blocks, utf8
 
 MARK = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+#: Bytes of text whose words are held at a time.
+PART = 4 << 20
 #: Kinds of pieces, fixed values of the format.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, BYTE = 1, 2, 3, 4, 6
 
@@ -114,7 +116,7 @@ class Model:
                 found += [(-score, i, ids[a], a, b) for a, b in halves if a in ids and b in ids]
         return [(a, b) for *_, a, b in sorted(found)]
 
-    def encode(self, texts: list[str], most: int = 20_000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def encode(self, texts: list[str], most: int = 4_000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids of all texts, the offsets of each text's, and whether the sentencepiece library gives the same; ``most`` texts at a time."""
         ids, sizes, same = [np.zeros(0, np.int32)], [0], []
         for at in range(0, len(texts), most):
@@ -146,21 +148,37 @@ def load(proto: bytes) -> Model:
     return Model(proto)
 
 
-def encode_column(model: Model, column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Per block of rows: ids, their offsets, parity and round trip of each row."""
+def encode_column(model: Model, column: pa.Array, most_bytes: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Per block of rows: ids, their offsets, parity and round trip of each row.
+
+    The words of ``most_bytes`` (``PART``) of text are held at a time, however long the column is; its distinct words are encoded once.
+    """
+    parts = list(blocks(utf8(column)[1], most_bytes or PART, max(1, len(column))))
+    words, coded = None, None
+    if model.by_word:
+        found = [pc.unique(_words(column.slice(lo, hi - lo)).flatten()) for lo, hi in parts]
+        words = pc.unique(pa.chunked_array(found, pa.large_string()))
+        coded = model.encode(words.to_pylist())
+    for lo, hi in parts:
+        yield from _encode_part(model, column.slice(lo, hi - lo), words, coded)
+
+
+def _words(column: pa.Array) -> pa.Array:
+    return pc.split_pattern(pc.fill_null(column, "").cast(pa.large_string()), " ")
+
+
+def _encode_part(model: Model, column: pa.Array, words: pa.Array | None, coded: tuple | None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     text = pc.fill_null(column, "").cast(pa.large_string())
     data, offsets = utf8(text)
     n = len(text)
-    if model.by_word:
+    if words is not None:
         mark = pc.match_substring(text, MARK).to_numpy(zero_copy_only=False)
-        split = pc.split_pattern(text, " ")
-        coded = split.flatten().dictionary_encode()
+        split = _words(column)
+        index = pc.index_in(split.flatten(), value_set=words).to_numpy()
         word_ends = split.offsets.to_numpy().astype(np.int64) - split.offsets[0].as_py()
-        words, index = coded.dictionary.to_pylist(), coded.indices.to_numpy()
-        del split, coded
-        flat, ends, same = model.encode(words)
-        empty = np.array([w == "" for w in words], bool)
-        del words
+        del split
+        flat, ends, same = coded
+        empty = pc.equal(words, "").to_numpy(zero_copy_only=False)
         gaps = np.concatenate([[0], np.cumsum(empty[index])])
         whole = mark | (gaps[word_ends[1:]] > gaps[word_ends[:-1]])
     else:

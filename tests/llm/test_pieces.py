@@ -3,6 +3,8 @@
 import os
 import struct
 
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 import sentencepiece
 
@@ -70,3 +72,17 @@ def test_tokenize(spark, docs, rows, empty):
     plain = sorted(((i, (t or "").replace("▁", " ")) for i, t, *_ in rows), key=repr)
     assert sorted((tuple(r) for r in back.collect()), key=repr) == plain
     assert pieces.tokenize(empty).count() == 0
+
+
+def test_words_of_a_long_column_are_held_part_by_part(monkeypatch):
+    with open(pieces.MODEL, "rb") as file:
+        model = pieces.load(file.read())
+    texts = [None, "", "the cat sat on the mat " * 300, f"a{pieces.MARK}b", "two  blanks", "x" * 9000, *(f"row {k} of many words" * (k % 7) for k in range(900))]
+    column, sizes, split = pa.array(texts, pa.string()), [], pc.split_pattern
+    monkeypatch.setattr(pieces, "PART", 4096, raising=False)
+    monkeypatch.setattr(pieces.pc, "split_pattern", lambda text, *a: sizes.append((sum(len(x.as_py().encode()) for x in text), len(text))) or split(text, *a))
+    rows = lambda made: [(out[a:b].tolist(), bool(p), bool(t)) for out, ends, same, trip in made for a, b, p, t in zip(ends, ends[1:], same, trip)]
+    got = rows(pieces.encode_column(model, column))
+    assert all(size <= 4096 or n == 1 for size, n in sizes)
+    assert [ids for ids, *_ in got] == model.processor.encode([x or "" for x in texts])
+    assert all(p for _, p, _ in got) and len(got) == len(texts)
