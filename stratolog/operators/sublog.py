@@ -50,7 +50,7 @@ class LayerLogs:
 
     def activity_layer(self) -> DataFrame:
         """The lowest layer that an activity's events touch."""
-        kinds = self.log.event_kinds.select("activity", F.explode("kinds.otype").alias("otype")).distinct()
+        kinds = self.log.event_classes.select("activity", F.explode("kinds.otype").alias("otype")).distinct()
         return kinds.join(self._own(), "otype").groupBy("activity").agg(F.min("own").alias("activity_layer"))
 
     def layer_activities(self) -> DataFrame:
@@ -67,16 +67,15 @@ class LayerLogs:
         own = self.log.happenings.join(F.broadcast(self.layers), "otype")
         return own.join(self._included(), ["layer", "activity"]).select("layer", "eid", "activity", "ts", "oid", "otype")
 
-    def _selected(self) -> DataFrame:
-        """layer, activity, eid, times, kinds: one row for each layer, event and activity."""
+    def _selected(self, rows: DataFrame) -> DataFrame:
+        """``rows`` (with activity and kinds) of each layer that looks at the activity and has objects in it."""
         solution = [F.lit(x) for r in self.layers.collect() for x in (r["otype"], r["layer"])]
         own = F.create_map(*solution) if solution else F.create_map().cast("map<string,int>")
         found = F.filter(F.array_distinct(F.transform("kinds", lambda k: F.element_at(own, k.getField("otype")))), lambda x: x.isNotNull())
-        rows = self.log.event_kinds.select("eid", "activity", "times", "kinds", F.explode(found).alias("layer"))
-        return rows.join(self._included(), ["layer", "activity"])
+        return rows.select("*", F.explode(found).alias("layer")).join(self._included(), ["layer", "activity"])
 
     def events(self) -> DataFrame:
-        return self._selected().select("layer", "eid", "activity", F.explode("times.ts").alias("ts"))
+        return self._selected(self.log.event_kinds).select("layer", "eid", "activity", F.explode("times.ts").alias("ts"))
 
     def objects(self) -> DataFrame:
         return self.relations().select("layer", "oid", "otype").distinct()
@@ -89,9 +88,9 @@ class LayerLogs:
 
     def resources(self, share: tuple[int, int] = (1, 2)) -> DataFrame:
         """layer, activity, otype, own: higher types present in at least ``share`` of the activity's included events."""
-        events = self._selected()
-        total = events.groupBy("layer", "activity").agg(F.sum(F.size("times")).alias("n"))
-        types = events.select("layer", "activity", F.size("times").alias("times"), F.explode("kinds.otype").alias("otype"))
+        events = self._selected(self.log.event_classes).withColumn("times", F.col("times") * F.col("events"))
+        total = events.groupBy("layer", "activity").agg(F.sum("times").alias("n"))
+        types = events.select("layer", "activity", "times", F.explode("kinds.otype").alias("otype"))
         types = types.groupBy("layer", "activity", "otype").agg(F.sum("times").alias("k"))
         higher = types.join(self._own(), "otype").where("own > layer")
         rows = higher.join(total, ["layer", "activity"])
@@ -100,20 +99,20 @@ class LayerLogs:
     def activity_resources(self) -> DataFrame:
         """layer, activity, resources: every included activity's resource types, highest layer first."""
         ranked = self.resources().groupBy("layer", "activity").agg(F.array_sort(F.collect_list(F.struct((-F.col("own")).alias("o"), "otype"))).alias("r"))
-        included = self._selected().select("layer", "activity").distinct()
+        included = self._selected(self.log.event_classes).select("layer", "activity").distinct()
         types = F.transform("r", lambda x: x.getField("otype"))
         return included.join(ranked, ["layer", "activity"], "left").select("layer", "activity", F.coalesce(types, F.array().cast("array<string>")).alias("resources"))
 
     def highlighted_activities(self) -> DataFrame:
         """Included activities whose own layer is exactly one below."""
-        included = self._selected().select("layer", "activity").distinct()
+        included = self._selected(self.log.event_classes).select("layer", "activity").distinct()
         return included.join(self.activity_layer(), "activity").where("activity_layer = layer - 1").select("layer", "activity")
 
     def arc_multiplicity(self) -> DataFrame:
         """As ``flows.arc_multiplicity`` of the relations, from the events' counts."""
-        kinds = self.log.event_kinds.select("activity", F.size("times").alias("times"), F.explode("kinds").alias("x")).select("activity", "x.otype", (F.col("x.n") * F.col("times")).alias("objects"))
+        kinds = self.log.event_classes.select("activity", "times", "events", F.explode("kinds").alias("x")).select("activity", "x.otype", (F.col("x.n") * F.col("times")).alias("objects"), "events")
         rows = kinds.join(F.broadcast(self.layers), "otype").join(self._included(), ["layer", "activity"])
-        rows = rows.groupBy("layer", "otype", "activity").agg(F.count(F.lit(1)).alias("events"), F.count_if(F.col("objects") == 1).alias("single"))
+        rows = rows.groupBy("layer", "otype", "activity").agg(F.sum("events").alias("events"), F.sum(F.when(F.col("objects") == 1, F.col("events")).otherwise(0)).alias("single"))
         return rows.withColumn("variable", F.col("events") > F.col("single"))
 
     def write(self, folder: str) -> None:

@@ -163,8 +163,8 @@ QUERIES: dict[str, Query] = {
     "lifespan_null_times": _of_log(_lifespan, null_times=True),
     "cooccurrence": _of_log(lambda log: log.cooccurrence),
     "explicit_edges": _of_log(lambda log: relations.explicit_edges(log.o2o, log.participants), explicit_edges=True),
-    "related_counts": _of_log(lambda log: relations.related_counts(log.degrees)),
-    "related_counts_explicit": _of_log(lambda log: relations.related_counts(log.degrees), explicit_edges=True),
+    "related_counts": _of_log(lambda log: relations.related_counts(log.degree_totals)),
+    "related_counts_explicit": _of_log(lambda log: relations.related_counts(log.degree_totals), explicit_edges=True),
     "time_counters": _of_log(scores.time_counters),
     "time_counters_null_times": _of_log(scores.time_counters, null_times=True),
     "time_scores": _of_log(lambda log: scores.TimeScorer().scores(log)),

@@ -2,6 +2,7 @@
 
 import datetime as dt
 import random
+import re
 
 import pytest
 
@@ -68,3 +69,20 @@ def test_odd_tables_against_sql(spark, odd, name):
     rows = expected.fetchall()
     got = entry.queries()[name](spark, odd).select(*columns).collect()
     assert sorted(map(tuple, got), key=repr) == sorted(rows, key=repr)
+
+
+SETTLED = ["related_counts", "interaction_counts", "dominant_signature", "cardinality_scores", "divergence_scores", "time_counters_null_times", "time_scores", "activity_layer", "layer_activities", "arc_multiplicity", "activity_resources_context"]
+
+
+@pytest.mark.parametrize("name", SETTLED)
+def test_lines_are_dealt_for_one_count_at_a_time(spark, odd, name):
+    """What comes back is made of counts, so that no plan holds all shuffles of the lines at once."""
+    assert "parquet" not in entry.queries()[name](spark, odd)._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("name", ["lifespan_null_times", "layer_events"])
+def test_lines_are_dealt_once(spark, odd, name):
+    """All that reads the lines reads the same columns, so that they are shuffled once."""
+    plan = entry.queries()[name](spark, odd)._jdf.queryExecution().executedPlan().toString()
+    scans = re.findall(r"FileScan parquet \[(l_orderkey[^]]*)\]", plan)
+    assert scans and len({re.sub(r"#\d+L?", "", x) for x in scans}) == 1
