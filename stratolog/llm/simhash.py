@@ -7,13 +7,14 @@ similarity s differ in about acos(2 s / (1 + s)) / pi of the bits (``radius_for`
 Distinct fingerprints are laid out in tiles of at most ``tile`` by the number of bits set in their upper and lower half; a pair of tiles is compared only if
 those counts can be within the radius (bits differ in at least as many places as counts do).  Inside a pair of tiles, rows sorted by the counts of their
 four quarters form small sub-tiles that are skipped the same way; the others are compared in full with numpy exclusive-or and bit counts, half of
-the lanes first and the others for the pairs still within the radius.  No link is lost, and the comparison is exact.
+the lanes first and the others for the pairs still within the radius.  Between large tiles the bits are cut into so many chunks that rows within the radius
+must be nearly equal in one, and only such rows are compared (``_chunk_labels``).  No link is lost, and the comparison is exact.
 
 Each pair of tiles reports a spanning forest of its links (never all pairs of a group), and components come from alternating star contractions, each
 iteration written to the shared checkpoint folder.  Fingerprints occur once in all of this, so copies cost one row; the join back to the documents is an
 ordinary join that AQE splits when a fingerprint is hot.  The driver sees how many fingerprints have which counts, and a box of counts for each tile, never
-fingerprints; tiles do not grow with the input, their number does, and pairs of tiles are listed by the executors.  The number of compared pairs grows with
-the square of the distinct fingerprints, which is in the nature of this method.
+fingerprints; tiles are of two sizes only, their number grows with the input, and pairs of tiles are listed by the executors.  The number of compared pairs grows
+with the square of the distinct fingerprints, which is in the nature of this method; the chunks leave a quarter of them at a radius of 46 of 256 bits.
 
 Null and empty texts have fingerprint zero and link like any other.  Texts shorter than a shingle are one shingle.  Null ids take part, but never become
 a component's id unless it has no other.  Repeated rows give equal rows.  An empty table gives an empty result.  Other columns are not read; ``one_of_each``
@@ -35,8 +36,10 @@ from pyspark.sql import functions as F
 from .common import few, hashable, hashes, reliable, utf8, whole_row
 
 SEED = 42
-#: Rows of a sub-tile, and of a tile at most.
-SUB, TILE = 256, 32768
+#: Rows of a sub-tile, and of a tile at most; twice as many where there would be over ``MANY`` tiles.
+SUB, TILE, MANY = 256, 32768, 64
+#: Pairs that are compared at a time; seconds that a pair, and a call of numpy's functions for a key, are counted with in ``_chunk_plan``.
+_BLOCK, _PAIR, _CALL = 1 << 18, 4e-9, 5e-5
 #: Shingle hashes whose bits are counted at a time.
 _CHUNK = 1 << 15
 
@@ -108,12 +111,15 @@ def _sub_tiles(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
 def _within(a: np.ndarray, b: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Rows of a and of b that differ in at most ``radius`` bits."""
     first = (a.shape[1] + 1) // 2
-    apart = np.bitwise_count(a[:, None, 0] ^ b[None, :, 0])
-    if first > 1:
+    lanes = np.ascontiguousarray(b[:, :first].T)
+    differ = a[:, 0, None] ^ lanes[0]
+    apart = np.bitwise_count(differ)
+    if first > 3:
         apart = apart.astype(np.uint16)
     for k in range(1, first):
-        apart += np.bitwise_count(a[:, None, k] ^ b[None, :, k])
-    u, v = np.nonzero(apart <= radius)
+        np.bitwise_xor(a[:, k, None], lanes[k], out=differ)
+        apart += np.bitwise_count(differ)
+    u, v = np.divmod(np.flatnonzero(apart <= radius), len(b))
     if a.shape[1] > first and len(u):
         on = apart[u, v] + np.bitwise_count(a[u, first:] ^ b[v, first:]).sum(1, dtype=np.int64) <= radius
         u, v = u[on], v[on]
@@ -131,8 +137,78 @@ def _join_labels(label: np.ndarray, u: np.ndarray, v: np.ndarray) -> None:
             label[:] = deeper
 
 
+def _chunk_plan(bits: int, radius: int, pairs: int) -> tuple[int, int, int] | None:
+    """(chunks, bits that may differ in one, bits of a chunk that are looked at) of the least work; None where comparing all pairs is no more work."""
+    best, least = None, pairs * _PAIR
+    for apart in range(4):
+        n = radius // (apart + 1) + 1
+        for wide in range(apart + 1, min(16, bits // n) + 1):
+            share = sum(math.comb(wide, k) for k in range(apart + 1)) / 2**wide
+            work = n * (2**wide * _CALL + share * pairs * _PAIR)
+            if work < least:
+                best, least = (n, apart, wide), work
+    return best
+
+
+def _chunk_keys(fps: np.ndarray, plan: tuple[int, int, int]) -> list[np.ndarray]:
+    """For each chunk, the number made of the bits that are looked at, of every row."""
+    n, _, wide = plan
+    bits = np.unpackbits(np.ascontiguousarray(fps).view(np.uint8), axis=1)
+    step, weights = bits.shape[1] // n, 1 << np.arange(wide)
+    return [bits[:, c * step : c * step + wide] @ weights for c in range(n)]
+
+
+def _chunk_labels(left: np.ndarray, right: np.ndarray | None, radius: int, plan: tuple[int, int, int]) -> np.ndarray | None:
+    """Labels of the rows of both tiles, equal where links connect them; None if the keys are so uneven that comparing all pairs is less work.
+
+    There are more chunks than the radius has room for if each differed in more bits than the plan allows: rows within the radius have a chunk in which
+    their keys are that near, and only such rows are compared.
+    """
+    n, allowed, wide = plan
+    near = np.arange(1 << wide)[:, None] ^ np.flatnonzero(np.bitwise_count(np.arange(1 << wide)) <= allowed)
+    shift, other = (0, left) if right is None else (len(left), right)
+    keys = _chunk_keys(left, plan)
+    keys = list(zip(keys, keys if right is None else _chunk_keys(right, plan)))
+    sizes = [[np.bincount(k, minlength=1 << wide) for k in both] for both in keys]
+    pairs = len(left) * len(other)
+    compared, even = sum(int(a @ b[near].sum(1)) for a, b in sizes), n * near.shape[1] / 2**wide * pairs
+    # what is more than even keys give is mostly links, found again in chunk after chunk
+    if compared + 10 * max(0, compared - even) > pairs:
+        return None
+    label = np.arange(shift + len(other))
+    for both, (size, size_) in zip(keys, sizes):
+        order, order_ = (np.argsort(k, kind="stable") for k in both)
+        ends, starts_ = np.cumsum(size), np.cumsum(size_) - size_
+        found, n_found = [], 0
+        for value in np.flatnonzero(size):
+            beside = near[value] if right is not None else near[value][near[value] >= value]
+            some = size_[beside]
+            rows_ = order_[np.repeat(starts_[beside] - np.cumsum(some) + some, some) + np.arange(some.sum())]
+            rows = order[ends[value] - size[value] : ends[value]]
+            most = max(1, _BLOCK // max(1, len(rows_)))
+            for at in range(0, len(rows), most):
+                part, own = rows[at : at + most], label[rows[at : at + most]]
+                # rows that are connected already are not compared again, so that a large group costs little
+                to = rows_[label[rows_ + shift] != own[0]] if (own == own[0]).all() else rows_
+                u, v = _within(left[part], other[to], radius)
+                if len(u):
+                    found.append((part[u], to[v] + shift))
+                    n_found += len(u)
+                if n_found > _BLOCK // 4:
+                    _join_labels(label, *map(np.concatenate, zip(*found)))
+                    found, n_found = [], 0
+        if found:
+            _join_labels(label, *map(np.concatenate, zip(*found)))
+    return label
+
+
 def tile_links(left: np.ndarray, right: np.ndarray | None, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """A spanning forest of all links between two tiles (within one, if right is None): each linked row with its representative, rows of ``right`` numbered after those of ``left``."""
+    plan = _chunk_plan(64 * left.shape[1], radius, len(left) * len(left if right is None else right))
+    label = None if plan is None else _chunk_labels(left, right, radius, plan)
+    if label is not None:
+        linked = np.flatnonzero(label != np.arange(len(label)))
+        return linked, label[linked]
     a, a_order, a_min, a_max = _sub_tiles(left)
     b, b_order, b_min, b_max = (a, a_order, a_min, a_max) if right is None else _sub_tiles(right)
     gap = np.maximum(0, np.maximum(a_min[:, None] - b_max[None], b_min[None] - a_max[:, None]))
@@ -168,11 +244,11 @@ def _plan(cells: list, tile: int) -> tuple[list[tuple], np.ndarray]:
     return where, np.array(boxes).reshape(-1, 4)
 
 
-def tiles(classes: DataFrame, tile: int = TILE) -> tuple[DataFrame, np.ndarray]:
+def tiles(classes: DataFrame, tile: int | None = None) -> tuple[DataFrame, np.ndarray]:
     """(tile, rows: array of (fp, least_id)) of all rows of ``classes`` (fp, upper, lower, least_id), and a box of counts for each tile."""
     spark = classes.sparkSession
     cells = [tuple(r) for r in classes.groupBy("upper", "lower").count().collect()]  # (32 lanes + 1) squared at most
-    where, boxes = _plan(cells, tile)
+    where, boxes = _plan(cells, tile or TILE * (1 + (sum(n for *_, n in cells) > MANY * TILE)))
     cell = spark.createDataFrame(where, "upper int, lower int, first long, tiles long")
     placed = classes.join(F.broadcast(cell), ["upper", "lower"])
     number = (F.col("first") + F.pmod(F.xxhash64("fp"), "tiles")).alias("tile")
@@ -231,7 +307,7 @@ def components(edges: DataFrame) -> DataFrame:
         state = now
 
 
-def _grouped(rows: DataFrame, radius: int, tile: int) -> DataFrame:
+def _grouped(rows: DataFrame, radius: int, tile: int | None) -> DataFrame:
     """rows (with fp, upper, lower, doc_id) with ``root`` (a number of the component) and component_id (its least id)."""
     classes = reliable(rows.groupBy("fp", "upper", "lower").agg(F.min("doc_id").alias("least_id")))
     laid, boxes = tiles(classes, tile)
@@ -244,13 +320,13 @@ def _grouped(rows: DataFrame, radius: int, tile: int) -> DataFrame:
     return rows.join(named, "fp", "left")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4, lanes: int = 1, tile: int = TILE) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4, lanes: int = 1, tile: int | None = None) -> DataFrame:
     """doc_id, fp and component_id (the least id that can be reached over links) of every document."""
     rows = reliable(fingerprints(docs.selectExpr("cast(doc_id as long) doc_id", "text"), shingle, lanes))
     return _grouped(rows, radius, tile).select("doc_id", "fp", "component_id")
 
 
-def one_of_each(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, lanes: int = 4, tile: int = TILE) -> DataFrame:
+def one_of_each(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, lanes: int = 4, tile: int | None = None) -> DataFrame:
     """One row of each component of ``docs`` with all its columns: that of the least id, then of the least hash of the text; of rows equal in both, one.
 
     Texts are near-duplicates when their fingerprints say that their shingles' similarity is ``similarity`` or more (``radius_for``).

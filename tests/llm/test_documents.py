@@ -580,6 +580,32 @@ def test_similarity_of_wide_fingerprints():
     assert np.mean(near) > 0.95 and np.mean(far) < 0.05 and len(near) > 30 and len(far) > 30
 
 
+@pytest.mark.parametrize("group", [0, 3000])
+def test_large_tiles_compare_few_pairs(monkeypatch, group):
+    """The forests of two tiles link what all pairs link; without a large group a third of the pairs is compared at most."""
+    rng, n, radius = np.random.default_rng(6), 32768, 46
+    bits = rng.integers(0, 2, (2 * n, 256), dtype=np.uint8)
+    bits[:group] = bits[0]
+    copies = rng.permutation(2 * n)[:4000]
+    bits[copies[:2000]] = bits[copies[2000:]]
+    for k in copies[:2000]:
+        bits[k, rng.choice(256, int(rng.integers(40, 53)), replace=False)] ^= 1
+    fps = np.packbits(bits, axis=1).view(np.uint64)[rng.permutation(2 * n)]
+    compared, within = [], simhash._within
+    monkeypatch.setattr(simhash, "_within", lambda a, b, r: compared.append(len(a) * len(b)) or within(a, b, r))
+
+    def linked():
+        label = np.arange(2 * n)
+        compared.clear()
+        simhash._join_labels(label, *simhash.tile_links(fps[:n], fps[n:], radius))
+        return label, sum(compared)
+
+    label, few = linked()
+    assert group or few < n * n // 3
+    monkeypatch.setattr(simhash, "_chunk_plan", lambda *_: None)
+    assert (label == linked()[0]).all() and (label != np.arange(2 * n)).any()
+
+
 @pytest.mark.parametrize("lanes, radius", [(1, 4), (4, 20)])
 def test_links_of_many_tiles(spark, lanes, radius):
     rng = np.random.default_rng(4)
