@@ -55,15 +55,18 @@ def ledger(docs: DataFrame) -> DataFrame:
         _count("[A-Z]").alias("n_upper"),
         _count("!").alias("n_exclaim"),
     )
-    window = F.transform(F.sequence(F.lit(0), F.size("_words") - 3), lambda i: F.struct(F.xxhash64(F.get("_words", i), F.get("_words", i + 1), F.get("_words", i + 2)).alias("h"), i.alias("i")))
+    window = F.transform(F.sequence(F.lit(0), F.size("_words") - 3), lambda i: F.xxhash64(F.get("_words", i), F.get("_words", i + 1), F.get("_words", i + 2)))
     rows = rows.select(
         "*",
         F.size("_words").cast("long").alias("n_words"),
         F.aggregate("_words", F.lit(0).cast("long"), lambda s, x: s + F.length(x)).alias("word_chars"),
         F.size("_lines").cast("long").alias("n_lines"),
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
-        F.when(F.size("_words") >= 3, F.sort_array(window)).alias("_sorted"),
+        F.when(F.size("_words") >= 3, window).alias("_hashes"),
     ).drop("_words", "_lines")
+    # most texts repeat no window: only the others' are paired with their places and sorted, which takes the most memory
+    repeats = F.size(F.array_distinct("_hashes")) < F.size("_hashes")
+    rows = rows.withColumn("_sorted", F.when(repeats, F.sort_array(F.transform("_hashes", lambda h, i: F.struct(h.alias("h"), i.alias("i")))))).drop("_hashes")
     # windows that stand beside an equal one in hash order occur twice or more; their positions, in order, cover a union of three-word stretches
     same = lambda i, j: F.get("_sorted", i).getField("h") == F.get("_sorted", j).getField("h")
     twice = F.filter("_sorted", lambda x, k: F.coalesce(same(k, k - 1), F.lit(False)) | F.coalesce(same(k, k + 1), F.lit(False)))

@@ -416,6 +416,11 @@ def test_quality(docs, rows):
         assert (r.fails, r.fails_alone, r.kept_without) == (sum(b & bit > 0 for b in bits), bits.count(bit), sum(b & ~bit == 0 for b in bits))
 
 
+def test_quality_sorts_windows_of_repeating_texts_only(docs):
+    plan = quality.ledger(docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert re.search(r"CASE WHEN \(size\(array_distinct\(_hashes#\d+\).{0,80}? THEN sort_array\(transform\(_hashes", plan)
+
+
 # media
 
 
