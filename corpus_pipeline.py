@@ -6,6 +6,7 @@ other, so one of them stays.  An empty table gives an empty result.  Extra colum
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,14 +16,28 @@ from stratolog.llm import language, mixing, pieces, secrets, simhash
 from stratolog.llm.common import documents, quoted, shared_folder
 
 
+#: Bytes of a batch between Spark and Python, which executors hold several times over.
+BATCH = 8 << 20
+
+
+def in_small_batches(spark: SparkSession) -> None:
+    """Batches of the session are of ``BATCH`` bytes at most from now on; a lower setting stays."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    size, unit = re.match(r"(\d+)\s*([kmgtp]?)", spark.conf.get(name).lower()).groups()
+    if not 0 < int(size) * 1024 ** " kmgtp".index(unit or " ") <= BATCH:
+        spark.conf.set(name, BATCH)
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops texts without a language (null texts and texts without a letter).  The prediction takes the place of ``lang``."""
+    in_small_batches(spark)
     rows = language.annotate(docs).where("lang_pred <> 'und'")
     return rows.select(*[F.col("lang_pred" if c == "lang" else f"row.{quoted(c)}").alias(c) for c in docs.columns])
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of near-duplicates: shingles of five words, similarity of 0.8 or more; the one of the least id (null ids last)."""
+    in_small_batches(spark)
     return simhash.one_of_each(docs, shingle=5, similarity=0.8)
 
 
@@ -39,6 +54,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document that is left."""
+    in_small_batches(spark)
     return pieces.tokenize(docs, carry=("doc_id", "lang", "source"))
 
 

@@ -38,6 +38,18 @@ def test_stages(spark, docs, rows, tmp_path):
     assert Counter(r.doc_id for r in out["SentencePiece"].collect()) == after
 
 
+@pytest.mark.parametrize("before, after", [("64m", corpus_pipeline.BATCH), ("16777216", corpus_pipeline.BATCH), ("1m", 1 << 20)])
+def test_batches_are_small(spark, empty, before, after):
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    kept = spark.conf.get(name)
+    try:
+        spark.conf.set(name, before)
+        corpus_pipeline.language_id(spark, empty, "")
+        assert spark.conf.get(name) in (str(after), before) and (spark.conf.get(name) == before) == (before == "1m")
+    finally:
+        spark.conf.set(name, kept)
+
+
 def test_stages_of_an_empty_table(spark, empty):
     made = empty
     for _, stage in corpus_pipeline.STAGES[:-1]:
